@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that separate tokens. "=", ";", "~", "|" and all beyond ASCII don't.
 DELIMITERS = r"[ @#$%^&*<>`:.,?!()/\\+\-_\[\]{}\"'\r\n\t]"
@@ -40,7 +41,7 @@ def html_text(html: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text_full(html: pd.Series) -> pd.Series:
     """As html_text(), but by the standard library's parser: unclosed hidden elements and all entities are handled."""
     from .htmlparse import text_of

@@ -1,0 +1,173 @@
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillseek.functions import score
+from quillseek.functions.text import DELIMITERS
+from quillseek.operators import invert, search, snippet
+from quillseek.operators.search import AND, OR
+from quillseek.plans.engine import SearchIndex
+
+MICRO = [
+    (1, "http://a.io/x", "alpha beta beta\ngamma delta"), (2, "http://b.io/y", "alpha\nalpha zeta\nbeta eta\ntheta gamma\nfoo bar\nalpha beta end"),
+    (3, "http://c.io/z", "beta gamma\none\ntwo\nthree\nfour\nfive alpha"), (4, "http://d.io/w", "foo-bar baz_qux x=1;y naïve"), (5, "http://e.io/v", "delta delta delta epsilon"),
+    (6, "http://f.io/u", "omega\nzzz"), (7, "http://g.io/t", "omega psi"),
+]
+
+
+@pytest.fixture(scope="module")
+def micro(spark):
+    rows = spark.createDataFrame(MICRO, "id bigint, url string, text string")
+    docs = invert.prepare(rows, "id", "text", "url", html=True).cache()
+    yield docs
+    docs.unpersist()
+
+
+def top(micro, q, mode, **how):
+    posts = invert.postings(micro, with_size=True)
+    rows = search.top_k(posts, invert.lexicon(posts), invert.stats(micro), q.split(), mode, **how).collect()
+    return [(r.doc_id, round(r.score, 6)) for r in rows]
+
+
+def test_collection(micro):
+    posts = invert.postings(micro)
+    assert posts.count() == 61 and invert.lexicon(posts).count() == 39
+    assert {r.doc_id: r["size"] for r in micro.collect()} == {1: 9, 2: 16, 3: 12, 4: 10, 5: 8, 6: 6, 7: 6}
+    assert invert.stats(micro).first().asDict() == {"n": 7, "davg": 9}
+    df = {r.term: r.df for r in invert.lexicon(posts).collect()}
+    assert [df[t] for t in "http io alpha beta gamma delta omega foo zzz".split()] == [7, 7, 3, 3, 3, 2, 2, 2, 1]
+    assert sum(df.values()) == 61 and posts.agg(F.sum("freq")).first()[0] == 67
+
+
+AB = [(2, 0.631889), (1, 0.600295), (3, 0.320157)]
+CASES = [
+    ("alpha beta", AND, AB), ("alpha beta", OR, AB), ("gamma delta", AND, [(1, 0.827873)]), ("gamma delta", OR, [(5, 2.054536), (1, 0.827873), (3, 0.160079), (2, 0.126378)]),
+    ("alpha alpha", AND, [(2, 0.758267), (1, 0.400196), (3, 0.320157)]), ("omega delta", OR, [(5, 2.054536), (6, 0.837033), (7, 0.837033), (1, 0.627775)]),
+    ("omega nosuch", AND, []), ("omega nosuch", OR, [(6, 0.837033), (7, 0.837033)]),
+    ("http", OR, [(2, -1.361790), (3, -1.724934), (4, -1.990308), (1, -2.156167), (5, -2.352183), (6, -2.874890), (7, -2.874890)]), ("Alpha", OR, []), ("", AND, []), ("", OR, []),
+]
+
+
+@pytest.mark.parametrize("q,mode,want", CASES)
+def test_micro(micro, q, mode, want):
+    assert top(micro, q, mode) == [(d, pytest.approx(s, abs=2e-6)) for d, s in want]
+
+
+def test_repeated_terms_count_once_in_or(micro):
+    assert top(micro, "alpha alpha", OR) == top(micro, "alpha", OR)
+
+
+def test_order_of_terms_and_prefixes_of_k(micro):
+    assert top(micro, "beta alpha", OR) == top(micro, "alpha beta", OR)
+    assert top(micro, "http", OR, k=3) == top(micro, "http", OR)[:3]
+
+
+def test_strict_and_wrong_mode(micro):
+    with pytest.raises(search.TermNotFound, match="nosuch"):
+        top(micro, "omega nosuch", OR, strict=True)
+    with pytest.raises(ValueError, match="wrong input"):
+        top(micro, "omega", "x")
+
+
+def test_batch_is_the_single_queries(spark, micro):
+    posts = invert.postings(micro, with_size=True)
+    words = [(i, t, m) for i, (q, m, _) in enumerate(CASES) for t in q.split()]
+    got = search.batch(posts, invert.lexicon(posts), invert.stats(micro), spark.createDataFrame(words, "query_id int, term string, mode string")).orderBy("query_id", "rank").collect()
+    for i, (_, _, want) in enumerate(CASES):
+        assert [(r.doc_id, round(r.score, 6)) for r in got if r.query_id == i] == [(d, pytest.approx(s, abs=2e-6)) for d, s in want]
+
+
+def test_lists(micro):
+    posts = invert.postings(micro)
+    assert sorted(r.doc_id for r in search.open_list(posts, "alpha").collect()) == [1, 2, 3]
+    assert [search.next_geq(posts, "alpha", k).first()[0] for k in (0, 2, 3, 4)] == [1, 2, 3, search.END]
+    assert [r.freq for r in search.frequency(posts, "delta", 5).collect()] == [3]
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(search.boolean(posts, ["gamma", "delta"], AND)) == [1] and ids(search.boolean(posts, ["gamma", "delta"], OR)) == [1, 2, 3, 5]
+    assert ids(search.boolean(posts, [], AND)) == [] and ids(search.boolean(posts, ["gamma", "no"], AND)) == []
+    assert ids(search.without(posts, ["gamma"], ["delta"])) == [2, 3]
+
+
+def test_matches_are_the_postings(micro):
+    want = {(r.term, r.doc_id, r.freq) for r in invert.postings(micro).filter("term in ('alpha', 'beta')").collect()}
+    assert {(r.term, r.doc_id, r.freq) for r in search.matches(micro, ["beta", "alpha", "none"]).collect()} == want
+
+
+def test_scorers(spark):
+    rows = [("bm25_linear", 390, 10, 3, 10.860658494), ("bm25_linear", 390, 500, 1, 0.0)]
+    for name, size, df, tf, want in rows:
+        one = spark.range(1).select(score.SCORERS[name](*[F.lit(float(x)) for x in (tf, df, size, 1000, 390)])).first()[0]
+        assert one == pytest.approx(want, abs=1e-8)
+    two = lambda f: spark.range(1).select(f(*[F.lit(float(x)) for x in (3, 10, 100, 1000, 390)]) + f(*[F.lit(float(x)) for x in (2, 600, 100, 1000, 390)])).first()[0]
+    assert two(score.bm25_linear) == pytest.approx(23.096259770, abs=1e-8) and two(score.cosine) == pytest.approx(0.574528912, abs=1e-8)
+
+
+def test_term_ids_and_runs(micro):
+    ids = [r.term for r in invert.term_ids(micro).orderBy("term_id").collect()]
+    seen = list(dict.fromkeys(t for _, t in sorted(((r.doc_id, r.pos), r.term) for r in invert.token_rows(micro).collect())))
+    assert ids == seen
+    posts = invert.postings(micro)
+    runs = [invert.postings(micro.withColumn("tokens", F.expr(f"filter(tokens, (t, i) -> i % 3 = {k})"))) for k in range(3)]
+    assert sorted(map(tuple, invert.merge_runs(*runs).collect())) == sorted(map(tuple, posts.collect()))
+    assert invert.with_term_ids(posts, invert.term_ids(micro)).count() == 61
+
+
+@pytest.mark.parametrize("n,best,want", [(1, 0, [0]), (2, 1, [0, 1]), (4, 3, [0, 1, 2, 3]), (3, 1, [0, 1, 2]), (5, 4, [0, 1, 2, 3, 4]), (7, 0, [0, 1, 2, 3, 4]), (7, 3, [1, 2, 3, 4, 5]), (7, 4, [2, 3, 4, 5, 6]), (7, 6, [2, 3, 4, 5, 6])])
+def test_snippet_window(spark, n, best, want):
+    rows = spark.createDataFrame([(1, i, f"l{i}", n, 1 if i == best else 0) for i in range(n)], "doc_id bigint, idx bigint, line string, n_lines bigint, score bigint")
+    assert sorted(r.idx for r in snippet.window_lines(rows).collect()) == want
+
+
+def test_snippets(micro):
+    docs = micro.select("doc_id", "size", "body")
+    got = {r.doc_id: r.snippet for r in snippet.snippets(docs, ["alpha"]).collect()}
+    assert got[6] == "http://f.io/u omega\r\nzzz\r\n"
+    scores = {r.doc_id: r.best for r in snippet.best_lines(snippet.scored_lines(docs, ["alpha"])).collect()}
+    assert scores[6] == 1  # all lines tie at 0, and the last one wins
+    for r in snippet.scored_lines(docs, ["alpha", "beta"]).collect():
+        assert r.score >= 0
+
+
+def test_stored_index(spark, micro, tmp_path):
+    index = SearchIndex.build(micro, str(tmp_path / "index"), with_blocks=True)
+    rows = index.search("gamma delta", OR).collect()
+    assert [(r.doc_id, round(r.score, 6)) for r in rows] == [(5, 2.054536), (1, 0.827873), (3, 0.160079), (2, 0.126378)]
+    assert rows[1].url == "http://a.io/x" and rows[1].query_freqs == {"gamma": 1, "delta": 1} and rows[0].snippet == "http://e.io/v delta delta delta epsilon\r\n"
+    assert [r.doc_id for r in index.search("Gamma-Delta", AND, analyze=True).collect()] == [1]
+    assert index.search("", OR).count() == 0 and index.search("  ", AND).count() == 0
+    assert index.page(4).first().url == "http://d.io/w"
+    plan = index.search("gamma", OR)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "term" in plan
+    assert {r.doc_id for r in SearchIndex.of(micro).search("omega", OR).collect()} == {6, 7}
+    lex = index.lexicon.orderBy("position").collect()
+    assert lex[0].is_full and all(a.next_position == b.position for a, b in zip(lex, lex[1:]))
+    queries = spark.createDataFrame([(1, "omega", OR)], "query_id int, term string, mode string")
+    assert [r.doc_id for r in index.batch(queries).orderBy("rank").collect()] == [6, 7]
+
+
+def test_random_against_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 13), k=rng.randint(0, 40))) for _ in range(60)]
+    docs = invert.prepare(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").cache()
+    bags = [[t for t in re.split(DELIMITERS, x) if t] for x in texts]
+    n, davg = len(bags), int(sum(map(len, bags)) / len(bags))
+    df = {w: sum(w in b for b in bags) for w in words}
+    for q in (["w1"], ["w1", "w3"], ["w0", "w2", "w11"]):
+        for mode in (AND, OR):
+            want = []
+            for d, b in enumerate(bags):
+                if (all if mode == AND else any)(t in b for t in q):
+                    want.append((-round(sum(math.log10((n - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 * b.count(t) / (1.2 * (0.25 + 0.75 * len(b) / davg)) for t in q if t in b), 9), -len(b), d))
+            posts = search.matches(docs, q)
+            got = search.top_k(posts, invert.lexicon(posts), invert.stats(docs), q, mode).collect()
+            assert [(r.doc_id, pytest.approx(r.score, abs=1e-8)) for r in got] == [(d, -s) for s, _, d in sorted(want)[:10]]
+
+
+def test_missing_bodies_and_urls(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, "u", None), (3, " ", "x"), (4, "u", "x")], "id bigint, url string, text string")
+    assert [r.doc_id for r in invert.prepare(rows, "id", "text", "url").collect()] == [4]
+    assert invert.prepare(rows, "id", "text").count() == 3

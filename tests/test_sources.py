@@ -1,0 +1,84 @@
+import pytest
+
+from quillseek import cli
+from quillseek.operators import invert, search
+from quillseek.schemas import DOCS, check
+from quillseek.sources import runs
+from quillseek.sources.trec import read_trec
+from quillseek.streaming.ingest import ingest
+
+TREC = "<DOC>\n<DOCNO>1</DOCNO>\n<TEXT>junk\n http://a.io/x \n<p>Alpha</p>\nbeta\n</TEXT>\n</DOC>\n<DOC><TEXT>\n\nno url</TEXT></DOC>\n<DOC>\n<TEXT>\nhttp://b.io\n<b>gamma</b> alpha</TEXT>\n<TEXT>\nhttp://c.io\nnever ended\n"
+
+
+def test_trec(spark, tmp_path):
+    (tmp_path / "a.trec").write_text(TREC)
+    (tmp_path / "b.trec").write_text("<TEXT>\nhttp://z.io\nzeta</TEXT>")
+    got = read_trec(spark, str(tmp_path / "a.trec"), str(tmp_path / "b.trec")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.url) for r in got] == [(1, "http://a.io/x"), (2, "http://b.io"), (3, "http://z.io")]
+    docs = invert.prepare(spark.createDataFrame(got), "doc_id", "html", "url", html=True)
+    assert docs.filter("doc_id = 1").first().tokens == ["http", "a", "io", "x", "alpha", "beta"]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_trec_utf16(spark, tmp_path, newline):
+    (tmp_path / "w.trec").write_bytes(TREC.replace("beta", "bêta").replace("\n", newline).encode("utf-16"))
+    got = read_trec(spark, str(tmp_path), utf16=True).orderBy("doc_id").collect()
+    assert [r.url for r in got] == ["http://a.io/x", "http://b.io"] and "bêta" in got[0].html
+
+
+@pytest.fixture
+def posts(spark):
+    return spark.createDataFrame([("alpha", 1, 2), ("béta", 4294967295, 300), ("zz", 7, 1), ("alpha", 9, 1)], "term string, doc_id bigint, freq bigint")
+
+
+def rows(df):
+    return sorted((r.term, r.doc_id, r.freq) for r in df.collect())
+
+
+def test_varbyte_runs(spark, tmp_path, posts):
+    paths = runs.write_runs(posts, f"file://{tmp_path}/runs", 2)
+    assert rows(runs.read_runs(spark, paths)) == rows(posts)
+    whole = [invert.merge_runs(runs.read_runs(spark, paths), runs.read_runs(spark, paths))]
+    assert rows(whole[0]) == [(t, d, 2 * f) for t, d, f in rows(posts)]
+    bad = tmp_path / "bad.run"
+    bad.write_bytes(b"\x01\x01\x05ab")
+    with pytest.raises(Exception, match="ends within a record"):
+        runs.read_runs(spark, [f"file://{bad}"]).collect()
+
+
+def test_text_and_id_runs(spark, tmp_path, posts):
+    runs.write_text_runs(posts, str(tmp_path / "text"))
+    lines = [x for p in sorted((tmp_path / "text").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == ["alpha,1,2", "alpha,9,1", "béta,4294967295,300", "zz,7,1"]
+    assert rows(runs.read_text_runs(spark, str(tmp_path / "text"))) == rows(posts)
+    ids = spark.createDataFrame([("alpha", 1), ("béta", 2), ("zz", 3)], "term string, term_id bigint")
+    runs.write_id_runs(posts, ids, str(tmp_path / "ids"))
+    assert rows(runs.read_id_runs(spark, str(tmp_path / "ids"))) == rows(posts)
+
+
+def test_schema_check(spark):
+    with pytest.raises(ValueError, match="body"):
+        check(spark.createDataFrame([(1, "u", 2)], "doc_id bigint, url string, size bigint"), DOCS)
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.trec").write_text(TREC)
+    assert cli.main(["build", str(tmp_path / "index"), str(tmp_path / "a.trec")]) == 0
+    assert cli.main(["search", str(tmp_path / "index"), "d", "gamma"]) == 0
+    assert "http://b.io" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", iter(["\n", "alpha\n", "c\n", "alpha\n", "q\n"]))
+    assert cli.main(["shell", str(tmp_path / "index")]) == 0
+    out = capsys.readouterr().out
+    assert "http://a.io/x" in out and "wrong input" in out
+
+
+def test_streamed_documents(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "index")
+    kind = "doc_id bigint, text string"
+    for k, rows_ in enumerate([[(1, "alpha beta")], [(2, "beta"), (3, None)]]):
+        spark.createDataFrame(rows_, kind).coalesce(1).write.mode("append").parquet(str(source))
+        schema = spark.read.parquet(str(source)).schema
+        ingest(spark, str(source), schema, out, str(tmp_path / "state")).awaitTermination()
+        assert spark.read.parquet(f"{out}/docs").count() == k + 1
+    posts = spark.read.parquet(f"{out}/postings")
+    assert sorted(r.doc_id for r in search.boolean(posts, ["beta"], search.OR).collect()) == [1, 2]
