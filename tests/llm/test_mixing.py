@@ -1,0 +1,53 @@
+import hashlib
+import random
+
+import pytest
+
+from quillseek.llm import mixing
+
+KIND = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def brute(rows, weights, budgets):
+    """[(doc_id, source, budget)] by sorting each source by hash."""
+    count = lambda t: len([w for w in (t or "").replace("\t", " ").replace("\n", " ").split(" ") if w])
+    h = lambda i, t: int(hashlib.md5((str(i) if i is not None else "t:" + (t or "")).encode()).hexdigest()[:12], 16)
+    sources = {s for _, _, s in rows}
+    w = {s: (1 if weights is None else weights.get(s, 0)) for s in sources}
+    total, out = sum(count(t) for _, t, _ in rows), []
+    for s in sources:
+        own = sorted(((h(i, t), count(t), i) for i, t, s2 in rows if s2 == s), key=lambda x: x[0])
+        for hash_, _, i in own:
+            cum = sum(n for x, n, _ in own if x <= hash_)
+            fits = [b for b in sorted(budgets) if cum <= total * b * w[s] // (1000 * sum(w.values()) or 1)]
+            if fits:
+                out.append((i, s, fits[0]))
+    return sorted(out, key=str)
+
+
+def got(df):
+    return sorted(((r.doc_id, r.source, r.mix_budget) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 3, "b": 1, "nowhere": 2}])
+def test_brute_force(spark, weights):
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    rows += [(None, "no id here", "a"), (None, None, "b"), (7, "again 7", "a"), (7, "again 7", "a"), (301, None, "c"), (302, "", "c"), (303, "x\ty\nz " * 20_000, "b")]
+    docs = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], KIND)
+    for budgets in ((100, 500, 1000), (37,)):
+        assert got(mixing.mix(docs, weights, budgets)) == brute(rows, weights, budgets)
+
+
+def test_nested_and_other_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, "x") for i in range(50)], "doc_id bigint, text string, source string, h bigint, tokens int, mix_budget bigint, __mix_src string")
+    docs = docs.drop("__mix_src").withColumnRenamed("h", "src")
+    out = mixing.mix(docs, None, (200, 600))
+    assert out.columns == ["doc_id", "text", "source", "src", "tokens", "mix_budget"] and out.count() == 30 and out.filter("mix_budget = 200").count() == 10
+    assert {r.doc_id for r in mixing.mix(docs, None, (200,)).collect()} == {r.doc_id for r in out.filter("mix_budget = 200").collect()}
+
+
+def test_empty(spark):
+    assert mixing.mix(spark.createDataFrame([], KIND)).count() == 0
+    nothing = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0)], KIND)
+    assert mixing.mix(nothing).count() == 2  # no token passes no budget
