@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import row_key, small, table, written
 
-BANDS, RADIUS = 12, 2
+BANDS, RADIUS = 16, 2
 BITS = 32 * BANDS
 #: Distance of near-duplicates, of BITS; about 0.76 as the Jaccard likeness of the sets of words.
-MAX_DISTANCE = 64
+MAX_DISTANCE = 85
 _WORD = re.compile(r"\w+")
 _SEEDS = BITS // 128
 #: All masks of at most RADIUS/2 bits.
 MASKS = np.array([0, *(1 << i for i in range(32))], np.int64)
+#: Entries that are sorted in memory at a time.
+PER_BUCKET = 1_000_000
 _POPS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -52,8 +54,8 @@ class Fingerprinter:
             parts.append(h)
         rows = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, BITS // 8)
         votes = np.zeros(BITS, np.int64)
-        for i in range(0, len(rows), 4096):
-            votes += np.unpackbits(rows[i : i + 4096], axis=1).sum(0, dtype=np.int64)
+        for i in range(0, len(rows), 255):  # as many as a byte can count
+            votes += np.add.reduce(np.unpackbits(rows[i : i + 255], axis=1), axis=0, dtype=np.uint8)
         return np.packbits(2 * votes > len(rows)).tobytes()
 
 
@@ -83,57 +85,83 @@ def _print_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "print": [make(t) for t in b["text"]]})
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    band = np.arange(BANDS, dtype=np.int64) << 32
-    for b in batches:
-        ids, prints = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-        for i in range(0, len(ids), 256):
-            words = np.frombuffer(b"".join(prints[i : i + 256]), ">u4").reshape(-1, BANDS).astype(np.int64)
-            keys = ((words[:, :, None] ^ MASKS) | band[None, :, None]).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i : i + 256], BANDS * len(MASKS)))], ["variant", "fid"])
+def _buckets(fingerprints: int) -> int:
+    """Buckets of the variants, a whole number for each band: some PER_BUCKET entries in one, up to 8 times as many where there would be over 8192."""
+    entries = fingerprints * BANDS * len(MASKS)
+    return -(-max(1, entries // (8 * PER_BUCKET), min(entries // PER_BUCKET, 8192)) // BANDS)
+
+
+def _variants(each: int):
+    """Packs the variants of a run of nodes by bucket: 4 bytes of variant and the low 2 bytes of the node for each, apart from a row's (bucket, high)."""
+    band = (np.arange(BANDS, dtype=np.int64) * each)[None, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, prints = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            cut = [0, *(np.flatnonzero(np.diff(nodes >> 16)) + 1).tolist(), len(nodes)]
+            for lo, hi in zip(cut, cut[1:]):
+                for i in range(lo, hi, 8192):
+                    yield pack(nodes[i : min(i + 8192, hi)], prints[i : min(i + 8192, hi)])
+
+    def pack(nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
+        words = np.frombuffer(b"".join(prints), ">u4").reshape(-1, BANDS).astype(np.int64)
+        variants = words[:, :, None] ^ MASKS
+        # the high bits of a product spread the variants; the bucket is a part of its range
+        spread = ((variants * 0x9E3779B1) & 0xFFFFFFFF) * each >> 32
+        bucket = (spread + band).reshape(-1)
+        order = np.argsort(bucket.astype(np.uint16 if each * BANDS < 1 << 16 else np.int64), kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        ends = np.concatenate((starts[1:], [len(bucket)]))
+        v = variants.reshape(-1)[order].astype(np.uint32)
+        low = np.repeat((nodes & 0xFFFF).astype(np.uint16), BANDS * len(MASKS))[order]
+        data = [v[s:e].tobytes() + low[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), nodes[0] >> 16)), pa.array(data, pa.binary())], ["bucket", "high", "data"])
+
+    return run
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by variant, the distinct lists of fingerprints that have one in common."""
+    """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time."""
     seen: set[bytes] = set()
-    last_key, rest = None, np.empty(0, np.int64)
-
-    def lists(found: list[np.ndarray]) -> pa.RecordBatch:
-        out = []
-        for ids in found:
-            ids = np.unique(ids)
-            if len(ids) > 1 and (name := xxhash.xxh3_128_digest(ids.tobytes())) not in seen:
-                if len(seen) > 1_000_000:
-                    seen.clear()  # later lists may come again; distinct() takes them
+    now, parts = None, []
+
+    def lists(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        v, nodes = [], []
+        for high, data in parts:
+            n = len(data) // 6
+            v.append(np.frombuffer(data, np.uint32, n))
+            nodes.append((high << 16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.int64))
+        v, nodes = np.concatenate(v), np.concatenate(nodes)
+        key = (v.astype(np.uint64) << np.uint64(32)) | np.arange(len(v), dtype=np.uint64)
+        key.sort()
+        nodes, v = nodes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], key >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(v)])))
+        two = starts[sizes == 2]
+        pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
+        names, members = [p.tobytes() for p in pairs], [pairs.reshape(-1)]
+        names = [n for n in names for _ in (0, 1)]
+        for k in np.flatnonzero(sizes > 2).tolist():
+            ids = np.sort(nodes[starts[k] : starts[k] + sizes[k]])
+            name = xxhash.xxh3_128_digest(ids.tobytes())
+            if name not in seen:
                 seen.add(name)
-                out.append((name, ids))
-        sizes = [len(ids) for _, ids in out]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([n for n, _ in out], object), sizes).tolist(), pa.binary()), pa.array(np.concatenate([i for _, i in out]) if out else np.empty(0, np.int64))], ["list", "fid"]
-        )
+                names += [name] * len(ids)
+                members.append(ids)
+        if len(seen) > 1_000_000:
+            seen.clear()  # lists may then come again; distinct() takes them
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
 
     for b in batches:
-        key, ids = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        if not len(key):
-            continue
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        found = []
-        if last_key == key[0]:
-            rest = np.concatenate((rest, ids[: ends[0]]))
-            if len(ends) > 1:
-                found.append(rest)
-        elif len(rest) > 1:
-            found.append(rest)
-        if len(ends) > 1 or last_key != key[0]:
-            many = np.flatnonzero(ends - starts > 1)
-            found += [ids[starts[k] : ends[k]] for k in many.tolist() if k < len(ends) - 1 and not (k == 0 and last_key == key[0])]
-            rest = ids[starts[-1] : ends[-1]].copy()
-        last_key = key[-1]
-        if found:
-            yield lists(found)
-    if len(rest) > 1:
-        yield lists([rest])
+        for bucket, high, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if bucket != now and parts:
+                yield lists(parts)
+                parts = []
+            now = bucket
+            parts.append((high, data))
+    if parts:
+        yield lists(parts)
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +203,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
     texts = docs.select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
     prints = written(texts.mapInPandas(_print_rows, "doc_id bigint, text_key bigint, print binary").filter("print is not null").select("*", F.xxhash64("print").alias("fid")), "prints")
-    own = written(prints.groupBy("fid", "print").agg(F.count("*").alias("n")), "fingerprints").select("fid", "print")
-    variants = own.mapInArrow(_variants, "variant bigint, fid bigint").repartition("variant").sortWithinPartitions("variant")
-    met = variants.mapInArrow(_meetings, "list binary, fid bigint").distinct()
-    lists = met.join(own, "fid").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
+    own = written(prints.select("fid", "print").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    each = _buckets(own.count())
+    packed = own.select("node", "print").mapInArrow(_variants(each), "bucket bigint, high bigint, data binary")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings, "list binary, node bigint").distinct()
+    lists = met.join(own, "node").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
     edges = written(lists.select("fids", "prints").mapInPandas(_edges, "a bigint, b bigint").distinct(), "near")
     comps = components(edges)
     placed = prints.join(comps.withColumnRenamed("node", "fid"), "fid", "left").select("doc_id", "text_key", F.coalesce("comp", "fid").alias("comp"))
