@@ -4,24 +4,30 @@ A text is cut into chunks of lines. A rolling hash over the hashes of two
 neighbouring lines decides whether a chunk ends between lines, so that lines put
 in before a passage shift no boundary within it; a line of LONG words is always
 a chunk of its own. Chunks that come again anywhere are compared byte by byte
-with their first occurrence and removed, which itself stays.
+with their first occurrence and removed, which itself stays. The lines beside a
+removed chunk go too as far as they are those beside the first occurrence, so
+that a passage goes up to its ends, wherever boundaries fall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import row_key, table, written
 
 #: A boundary follows one in DIVISOR lines.
 DIVISOR = 3
 #: Words that make a line a chunk of its own, and that a chunk of several lines needs to be removed.
-LONG, LEAST = 40, 10
+LONG, LEAST = 20, 10
+#: Documents with first occurrences up to which those are found by a bitmap (16 bits each) before the join.
+MAX_MARKED = 16_000_000
 _M = (1 << 64) - 1
 
 
@@ -35,7 +41,7 @@ def chunks(text: str) -> list[tuple[int, int, int, bool]]:
             out.append((start, end, digest.intdigest() - (1 << 63), words >= LONG or (lines > 1 and words >= LEAST)))
         start, lines, words, digest = end, 0, 0, xxhash.xxh3_64()
 
-    for line in text.split("\n"):
+    for line in text.removesuffix("\n").split("\n"):
         n, h = len(line.split()), xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         if n >= LONG:
             close(at)
@@ -58,22 +64,61 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(c["hash"], t[c["start"] : c["end"]].rstrip("\n")) for t, spans in zip(b["text"], b["spans"]) for c in spans]
-        yield pd.DataFrame(rows, columns=["hash", "first_text"])
+        rows = []
+        for text, spans in zip(b["text"], b["spans"]):
+            bounds = [(s, e) for s, e, _, _ in chunks(text)]
+            at = {s: k for k, (s, _) in enumerate(bounds)}
+            for c in spans:
+                k = at[c["start"]]
+                before = text[slice(*bounds[k - 1])] if k else None
+                after = text[slice(*bounds[k + 1])].removesuffix("\n") if k + 1 < len(bounds) else None
+                rows.append((c["hash"], text[c["start"] : c["end"]].removesuffix("\n"), before, after))
+        yield pd.DataFrame(rows, columns=["hash", "first_text", "before", "after"], dtype="object")
 
 
 def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
-    """(text without the spans that equal their first occurrence, chunks removed)."""
+    """(text without the spans that equal their first occurrence and what goes with them, chunks removed)."""
     if text is None or spans is None or not len(spans):
         return text, 0
-    kept, at, n = [], 0, 0
-    for c in sorted(spans, key=lambda c: c["start"]):
-        if text[c["start"] : c["end"]].rstrip("\n") == c["first_text"]:
-            kept.append(text[at : c["start"]])
-            at, n = c["end"], n + 1
+    gone = []
+    for c in spans:
+        start, end = c["start"], c["end"]
+        if text[start:end].removesuffix("\n") != c["first_text"]:
+            continue
+        for line in reversed((c["before"] or "").splitlines(True) if c["before"] else []):
+            low = start - len(line)
+            if low < 0 or text[low:start] != line or (low and text[low - 1] != "\n"):
+                break
+            start = low
+        for line in c["after"].split("\n") if c["after"] is not None else []:
+            high = end + len(line)
+            if end >= len(text) or text[end:high] != line or (high < len(text) and text[high] != "\n"):
+                break
+            end = min(high + 1, len(text))
+        gone.append((start, end))
+    kept, at = [], 0
+    for start, end in sorted(gone):
+        kept.append(text[at : max(at, start)])
+        at = max(at, end)
     kept.append(text[at:])
     out = "".join(kept)
-    return (out.removesuffix("\n") if n and not text.endswith("\n") else out), n
+    return (out.removesuffix("\n") if gone and not text.endswith("\n") else out), len(gone)
+
+
+def _marked(keys: np.ndarray):
+    """A filter on hashes of texts that lets all of ``keys`` pass and few others."""
+    bits = 1 << max(10, int(16 * len(keys)).bit_length())
+    bitmap = np.zeros(bits // 8, np.uint8)
+    places = lambda k: (k & (bits - 1), (k >> 32) & (bits - 1))
+    for at in places(keys):
+        np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    @F.pandas_udf(BooleanType())
+    def passes(key: pd.Series) -> pd.Series:
+        k = key.to_numpy(np.int64)
+        return pd.Series(np.logical_and(*[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(k)]))
+
+    return passes
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +130,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all of whose chunks came before has an empty text left. Rows that repeat id
     and text are one document and are treated alike. Null text stays null and
     empty text empty. If two different chunks have one hash, only those like the
-    first are removed. Columns other than the text are as they were; an existing
+    first are removed. Beside a removed chunk, lines that equal those beside the
+    first occurrence go with it, as far as its neighbouring chunk there reaches;
+    an equal line always stays at an earlier place. Columns other than the text are as they were; an existing
     removed_chunks is replaced.
     """
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
@@ -96,9 +143,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = written(ends.filter("first <> last").select("hash", "at.*"), "repeated")
     # the texts of first occurrences
     wanted = repeated.groupBy("d_id", "d_key").agg(F.collect_list(F.struct("hash", "start", "end")).alias("spans"))
-    firsts = texts.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, "hash bigint, first_text string").dropDuplicates(["hash"])
+    keys = repeated.select("d_key").distinct()
+    if keys.limit(MAX_MARKED + 1).count() <= MAX_MARKED:
+        marked = keys.toArrow()["d_key"].to_numpy()
+        holders = texts.filter(_marked(marked)(F.col("d_key")))
+    else:
+        holders = texts
+    kind = "hash bigint, first_text string, before string, after string"
+    firsts = holders.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, kind).dropDuplicates(["hash"])
     again = spots.join(repeated.select("hash", F.struct("d_id", "d_key", "start").alias("first")), "hash").filter(place != F.col("first")).select("d_id", "d_key", "start", "end", "hash").distinct()
-    spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias("__cut_id"), F.col("d_key").alias("__cut_key")).agg(F.collect_list(F.struct("start", "end", "first_text")).alias("__cut"))
+    spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias("__cut_id"), F.col("d_key").alias("__cut_key")).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias("__cut"))
 
     @F.pandas_udf("struct<text: string, n: int>")
     def cut_all(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
