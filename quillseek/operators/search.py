@@ -66,10 +66,20 @@ def without(posts: DataFrame, terms: Sequence[str], excluded: Sequence[str]) ->
     return boolean(posts, terms, OR).join(boolean(posts, excluded, OR), "doc_id", "left_anti")
 
 
+def narrow(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(doc_id, size, found) of all documents: their sizes and how often they have each of the terms.
+
+    It is a few numbers a document. A search that isn't on a stored index reads
+    it for postings, df and the collection's figures; persist it to read and
+    tokenise the documents once.
+    """
+    return docs.select("doc_id", "size", term_frequencies(F.col("tokens"), sorted(set(terms))).alias("found"))
+
+
 def matches(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Postings (term, doc_id, freq, size) of the given terms only, straight from documents: nothing else is exploded or shuffled."""
-    found = term_frequencies(F.col("tokens"), sorted(set(terms)))
-    return docs.select("doc_id", "size", F.inline(found)).select("term", "doc_id", "freq", "size")
+    """Postings (term, doc_id, freq, size) of the given terms only, straight from documents or narrow(): nothing else is exploded or shuffled."""
+    rows = docs if "found" in docs.columns else narrow(docs, terms)
+    return rows.select("doc_id", "size", F.inline("found")).select("term", "doc_id", "freq", "size")
 
 
 def scored(posts: DataFrame, lex: DataFrame, stats: DataFrame, query: DataFrame, scorer: Scorer = bm25_linear) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, score
 from ..functions.text import html_text
 from ..operators import blocks, invert, search, snippet
+from ..operators.numbering import number, term_group
 from ..operators.search import AND, OR
 from ..sources.tables import html_documents, read_table, text_documents
 
@@ -28,7 +29,7 @@ def query(f: Query) -> Query:
 
 
 def _ranked(spark: SparkSession, folder: str, terms, mode: str, scorer=score.bm25_linear, docs: DataFrame | None = None) -> DataFrame:
-    docs = text_documents(spark, folder) if docs is None else docs
+    docs = search.narrow(text_documents(spark, folder) if docs is None else docs, terms).persist()
     posts = search.matches(docs, terms)
     top = search.top_k(posts, invert.lexicon(posts), invert.stats(docs), terms, mode, 10, scorer)
     return top.withColumn("rank", F.row_number().over(W.orderBy(*search.best_first())).cast("bigint"))
@@ -62,8 +63,6 @@ def postings(spark, folder):
 def postings_sorted(spark, folder):
     """The order of runs: term, then document; the rank proves it."""
     rows = invert.postings(text_documents(spark, folder))
-    from ..operators.numbering import number, term_group
-
     return number(rows, term_group(F.col("term")), [F.col("term"), F.col("doc_id")], "place")
 
 
@@ -181,7 +180,7 @@ def bm25_saturating_or_top10(spark, folder):
 @query
 def scores_all(spark, folder):
     """The score of every document that has a word of the query, without a limit."""
-    docs = text_documents(spark, folder)
+    docs = search.narrow(text_documents(spark, folder), COMMON).persist()
     posts = search.matches(docs, COMMON)
     rows = search.scored(posts, invert.lexicon(posts), invert.stats(docs), search.query_terms(spark, COMMON, OR))
     return search.totals(rows).select("doc_id", "size", F.round("score", 6).alias("score"), F.col("n_terms"))
@@ -208,8 +207,9 @@ def query_df(spark, folder):
 def batch_bm25(spark, folder):
     words = [(1, "that", OR), (1, "is", OR), (2, "that", AND), (2, "of", AND), (2, "that", AND), (3, "the", OR), (4, "the", AND), (4, MISSING, AND)]
     queries = spark.createDataFrame(words, "query_id bigint, term string, mode string")
-    docs = text_documents(spark, folder)
-    posts = search.matches(docs, sorted({w for _, w, _ in words}))
+    words = sorted({w for _, w, _ in words})
+    docs = search.narrow(text_documents(spark, folder), words).persist()
+    posts = search.matches(docs, words)
     top = search.batch(posts, invert.lexicon(posts), invert.stats(docs), queries)
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "size", F.round("score", 6).alias("score"))
 
