@@ -23,7 +23,7 @@ from .common import table
 #: N-grams in a list; labelled documents a language that profiles are fitted on, at most.
 PROFILE, SAMPLE = 400, 400
 #: Documents whose distance, as a part of the greatest possible one, is above this are in no known language.
-MAX_DISTANCE = 0.97
+MAX_DISTANCE = 0.78
 #: N-grams that a text needs for the distance to decide; a shorter one is only labelled.
 MIN_GRAMS = 40
 
