@@ -30,7 +30,7 @@ UNITS = frozenset(
     "minutes h hr hour hours day days week weeks month months year years % percent $ € £ ° usd eur dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz w kw mw v a c f k j "
     "kj cal kcal mph kph n pa kpa mol".split()
 )
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:\n]|[%$€£°]")
+_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|\w+|[.!?:\n%$€£°]")
 _STOP = frozenset(".!?:\n")
 
 
@@ -43,12 +43,17 @@ def tokens(text: str, names: frozenset[str] = frozenset()) -> tuple[list[str], d
     """
     out: list[str] = []
     slots: dict[int, str] = {}
-    start, named = True, False
+    start, named, special = True, False, UNITS | names
+    add = out.append
     for t in _TOKEN.findall(text):
         if t in _STOP:
             start = True
             continue
         low = t.lower()
+        if t == low and t.isalpha() and low not in special:  # most words
+            add(low)
+            start = False
+            continue
         if t[0].isdigit():
             slots[len(out)] = t
             out.append(NUM)
@@ -82,20 +87,17 @@ def forms(text: str, names: frozenset[str]) -> list[tuple[int, list[str], dict[i
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes:
-    def __init__(self) -> None:
-        self.of: dict[str, int] = {}
+class _Hashes(dict):
+    """Hashes of tokens, kept."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        return h
 
-    def __call__(self, toks: list[str]) -> np.ndarray:
-        if len(self.of) > 500_000:
-            self.of.clear()
-        get, new = self.of.get, []
-        for t in toks:
-            h = get(t)
-            if h is None:
-                h = self.of[t] = xxhash.xxh64_intdigest(t)
-            new.append(h)
-        return np.array(new, np.uint64)
+    def of(self, toks: list[str]) -> np.ndarray:
+        if len(self) > 100_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, toks), np.uint64, len(toks))
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -130,7 +132,7 @@ def benchmark_windows(items: list[tuple[int, str | None]]) -> tuple[list[tuple],
         for form, toks, slots in forms(text or "", names):
             width = min(WINDOW, len(toks))
             spots = [i for i in range(len(toks) - width + 1) if _useful(toks[i : i + width], width)] if width else []
-            hs = window_hashes(hashes(toks), width) if spots else ()
+            hs = window_hashes(hashes.of(toks), width) if spots else ()
             out += [(item, form, len(spots), i, width, *_window(toks, slots, i, width), int(hs[i].astype(np.int64))) for i in spots]
     return out, names
 
@@ -187,7 +189,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
             rows: list[tuple] = []
             for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"]):
                 for form, toks, slots in forms(text, names):
-                    h = hashes(toks)
+                    h = hashes.of(toks)
                     for width in widths:
                         w = window_hashes(h, width).astype(np.int64)
                         if sent is not None and len(w):
