@@ -125,7 +125,7 @@ class Features:
     def _of(self, word: str) -> int:
         h = self.slot.get(word)
         if h is None:
-            if len(self.slot) > 400_000:
+            if len(self.slot) > 100_000:
                 self.slot.clear()
             d = xxhash.xxh3_64_intdigest(word)
             h = self.slot[word] = (d % WORDS) * 2 + (d >> 63)

@@ -32,6 +32,8 @@ _SEEDS = BITS // 128
 MASKS = np.array([0, *(1 << i for i in range(32))], np.int64)
 #: Entries that are sorted in memory at a time.
 PER_BUCKET = 1_000_000
+#: Fingerprints whose variants are packed at a time; some 60 MB.
+PACK = 4096
 _POPS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -44,7 +46,7 @@ class Fingerprinter:
         words = set(_WORD.findall(text.lower())) if text else ()
         if not words:
             return None
-        if len(self.of) > 400_000:
+        if len(self.of) > 100_000:
             self.of.clear()
         get, parts = self.of.get, []
         for w in words:
@@ -93,30 +95,37 @@ def _buckets(fingerprints: int) -> int:
 
 def _variants(each: int):
     """Packs the variants of a run of nodes by bucket: 4 bytes of variant and the low 2 bytes of the node for each, apart from a row's (bucket, high)."""
-    band = (np.arange(BANDS, dtype=np.int64) * each)[None, :, None]
+    n_buckets = each * BANDS
+    kind = np.uint16 if n_buckets < 1 << 16 else np.uint32 if n_buckets < 1 << 32 else np.uint64
+    band = (np.arange(BANDS) * each).astype(kind)[None, :, None]
+    masks = MASKS.astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            nodes, prints = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             cut = [0, *(np.flatnonzero(np.diff(nodes >> 16)) + 1).tolist(), len(nodes)]
             for lo, hi in zip(cut, cut[1:]):
-                for i in range(lo, hi, 8192):
-                    yield pack(nodes[i : min(i + 8192, hi)], prints[i : min(i + 8192, hi)])
+                for i in range(lo, hi, PACK):
+                    n = min(PACK, hi - i)
+                    yield pack(nodes[i : i + n], prints.slice(i, n).to_pylist())
 
     def pack(nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
-        words = np.frombuffer(b"".join(prints), ">u4").reshape(-1, BANDS).astype(np.int64)
-        variants = words[:, :, None] ^ MASKS
-        # the high bits of a product spread the variants; the bucket is a part of its range
-        spread = ((variants * 0x9E3779B1) & 0xFFFFFFFF) * each >> 32
-        bucket = (spread + band).reshape(-1)
-        order = np.argsort(bucket.astype(np.uint16 if each * BANDS < 1 << 16 else np.int64), kind="stable")
+        words = np.frombuffer(b"".join(prints), ">u4").reshape(-1, BANDS).astype(np.uint32)
+        variants = words[:, :, None] ^ masks
+        # a product spreads the variants; the bucket is where it lies in the range
+        spread = (variants * np.uint32(0x9E3779B1)).astype(np.uint64)
+        spread *= np.uint64(each)
+        spread >>= np.uint64(32)
+        bucket = (spread.astype(kind) + band).reshape(-1)
+        del spread
+        order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         ends = np.concatenate((starts[1:], [len(bucket)]))
-        v = variants.reshape(-1)[order].astype(np.uint32)
-        low = np.repeat((nodes & 0xFFFF).astype(np.uint16), BANDS * len(MASKS))[order]
+        v = variants.reshape(-1)[order]
+        low = (nodes & 0xFFFF).astype(np.uint16)[order // (BANDS * len(masks))]
         data = [v[s:e].tobytes() + low[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), nodes[0] >> 16)), pa.array(data, pa.binary())], ["bucket", "high", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(np.full(len(starts), nodes[0] >> 16)), pa.array(data, pa.binary())], ["bucket", "high", "data"])
 
     return run
 
@@ -149,7 +158,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(name)
                 names += [name] * len(ids)
                 members.append(ids)
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()  # lists may then come again; distinct() takes them
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
 
