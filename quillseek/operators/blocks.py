@@ -10,17 +10,30 @@ from ..functions.codec import varbyte_encode, varbyte_length
 from .numbering import running_sum, term_group
 
 CHUNK = 128
+#: Ids whose postings of one term are numbered by one task.
+SPAN = 1 << 20
 #: A term is in the full lexicon if its df is over FULL_DF, or if over SINCE postings came since the last full one.
 FULL_DF, SINCE = 50, 500
 
 
 def chunked(posts: DataFrame) -> DataFrame:
-    """(term, doc_id, freq, chunk_id, gap): CHUNK postings a chunk; the first gap of a chunk is the id itself."""
-    by_term = W.partitionBy("term").orderBy("doc_id")
-    rows = posts.select("term", "doc_id", "freq").withColumn("chunk_id", ((F.row_number().over(by_term) - 1) / CHUNK).cast("bigint"))
-    # a chunk's rows lie together in the term's order, so the second window needs no further sort or shuffle
-    before = F.lag(F.struct("doc_id", "chunk_id")).over(by_term)
-    return rows.withColumn("__before", before).select("term", "doc_id", "freq", "chunk_id", (F.col("doc_id") - F.when(F.col("__before.chunk_id") == F.col("chunk_id"), F.col("__before.doc_id")).otherwise(0)).alias("gap"))
+    """(term, doc_id, freq, chunk_id, gap): CHUNK postings a chunk; the first gap of a chunk is the id itself.
+
+    A term's postings are numbered by ranges of SPAN ids: only the ranges'
+    counts and last ids pass through a window over the whole term, so a word
+    that is in every document is shared by many tasks. Both uses of the
+    postings read one shuffle.
+    """
+    rows = posts.select("term", "doc_id", "freq", F.expr(f"doc_id div {SPAN}").alias("__r"))
+    rows = rows.filter(F.col("term").isNotNull() & F.col("__r").isNotNull()).repartition("term", "__r")  # the join would put this filter on one side only
+    by_term = W.partitionBy("term").orderBy("__r")
+    ranges = rows.groupBy("term", "__r").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "freq")).alias("last")).select(  # with freq, so that this is the same shuffle
+        "term", "__r", F.coalesce(F.sum("n").over(by_term.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.lag("last.doc_id").over(by_term).alias("__last"),
+    )
+    here = W.partitionBy("term", "__r").orderBy("doc_id")
+    placed = rows.join(ranges, ["term", "__r"]).withColumn("__n", F.col("__base") + F.row_number().over(here) - 1)
+    before = F.coalesce(F.lag("doc_id").over(here), F.col("__last"), F.lit(0))
+    return placed.select("term", "doc_id", "freq", F.expr(f"__n div {CHUNK}").alias("chunk_id"), (F.col("doc_id") - F.when(F.col("__n") % CHUNK == 0, 0).otherwise(before)).alias("gap"))
 
 
 def chunk_sizes(posts: DataFrame) -> DataFrame:

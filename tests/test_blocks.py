@@ -20,6 +20,18 @@ def test_chunks_of_128(spark):
     assert [r.relative_position for r in blocks.chunk_offsets(blocks.chunk_sizes(posts)).orderBy("chunk_id").collect()] == [0, sizes[0], sizes[0] + sizes[1]]
 
 
+def test_ranges_of_ids(spark, monkeypatch):
+    """Chunks and gaps don't depend on the ranges by which a long list is numbered."""
+    posts = spark.createDataFrame([(t, d * k, 1) for k, t in ((7, "a"), (900, "b")) for d in range(1, 400)], "term string, doc_id bigint, freq bigint")
+    whole = sorted(map(tuple, blocks.chunked(posts).collect()))
+    monkeypatch.setattr(blocks, "SPAN", 100)
+    assert sorted(map(tuple, blocks.chunked(posts).collect())) == whole
+    done = blocks.chunked(posts)
+    done.write.format("noop").mode("overwrite").save()
+    done.collect()
+    assert "ReusedExchange" in done._jdf.queryExecution().executedPlan().toString()
+
+
 def _full(lex):
     out, since = {}, 501
     for term, df in sorted(lex, key=lambda x: x[0].encode()):
