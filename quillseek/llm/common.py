@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest side, in rows, that an operator broadcasts; beyond it, it shuffles.
 BROADCAST_ROWS = 200_000
+#: Rows of text that go to Python at a time.
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after setting the rows of an Arrow batch to TEXT_ROWS if the session has Spark's default.
+
+    Both the JVM and Python hold whole batches; 10,000 long texts in one could
+    be any size. Batches have no influence on results.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(conf) == "10000":
+        df.sparkSession.conf.set(conf, str(TEXT_ROWS))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; it is counted first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small, table
+from .common import row_key, small, table, text_batches
 
 #: Tokens in a window, least literal words in one, and part of an item's windows that a document must have.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
@@ -205,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
             yield pd.DataFrame(rows, columns=cols)
 
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
+    texts = text_batches(docs).filter(F.col(text_col).isNotNull()).select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
     hits = texts.mapInPandas(scan, "doc_id bigint, text_key bigint, form int, pos int, template string, d_slots array<string>").distinct()
     pairs = hits.join(small(windows), "template")
     key = ["doc_id", "text_key", "item_id"]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 PATH, WORDS, FIGURES, HIDDEN = 32, 48, 6, 16
 DIM = PATH + WORDS + FIGURES
@@ -305,7 +305,7 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], id_col: str = "page_
                     }
                 )
 
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = text_batches(pages).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInPandas(run, "page_id bigint, url string, n_blocks int, n_content int, labels string, text string")
 
 

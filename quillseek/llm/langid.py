@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 #: N-grams in a list; labelled documents a language that profiles are fitted on, at most.
 PROFILE, SAMPLE = 400, 400
@@ -65,7 +65,7 @@ def top_grams(counts: dict[int, int] | np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict[str, list[int]]:
     """language: its n-grams by rank, from the ``sample`` labelled rows a language whose ids hash least."""
-    ids = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
+    ids = text_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     first = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= sample)
     chosen = first.select("lang", "id").distinct()  # at most ``sample`` rows a language
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), ["lang", "id"])
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     letters is accepted and its language is null. Texts are read whole; repeated
     rows give repeated results; null ids are kept.
     """
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("declared"), F.col(text_col).alias("text")).mapInPandas(
+    return text_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("declared"), F.col(text_col).alias("text")).mapInPandas(
         _labeller(profiles, None), "doc_id bigint, declared string, language string, distance double, margin double, accepted boolean"
     )
 
@@ -156,7 +156,7 @@ def accept(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
         for t in texts:
             yield pd.Series([_accepted((s := ranker.score(x))[1], s[3]) for x in t], dtype=bool)
 
-    return docs.filter(accepted(F.col(text_col)))
+    return text_batches(docs).filter(accepted(F.col(text_col)))
 
 
 def query(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import row_key, table, written
+from .common import row_key, table, text_batches, written
 
 #: A boundary follows one in DIVISOR lines.
 DIVISOR = 3
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed_chunks is replaced.
     """
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    texts = docs.filter(F.col(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), F.col(text_col).alias("text"))
+    texts = text_batches(docs).filter(F.col(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), F.col(text_col).alias("text"))
     spots = written(texts.mapInPandas(_chunk_rows, "d_id bigint, d_key bigint, start int, end int, hash bigint"), "chunks")
     place = F.struct("d_id", "d_key", "start")
     ends = spots.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("d_id", "d_key", "start", "end")).alias("at"))

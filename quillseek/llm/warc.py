@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import shared_dir, table, text_batches, written
 
 #: Gap that is read over rather than skipped, most bytes of one read, and of a file before another is begun.
 GAP, READ, FILE = 64 << 10, 8 << 20, 256 << 20
@@ -81,7 +81,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out.close()
         yield pd.DataFrame({"file": done}, dtype="object")
 
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = text_batches(pages).select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return written(rows.mapInPandas(run, "file string").withColumn("file", F.concat(F.lit(_scheme(folder)), "file")), "warc-files")
 
 
