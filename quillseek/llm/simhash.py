@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small, table, written
+from .common import row_key, small, table, text_batches, written
 
 BANDS, RADIUS = 16, 2
 BITS = 32 * BANDS
@@ -30,10 +30,10 @@ _WORD = re.compile(r"\w+")
 _SEEDS = BITS // 128
 #: All masks of at most RADIUS/2 bits.
 MASKS = np.array([0, *(1 << i for i in range(32))], np.int64)
-#: Entries that are sorted in memory at a time.
-PER_BUCKET = 1_000_000
-#: Fingerprints whose variants are packed at a time; some 60 MB.
-PACK = 4096
+#: Variants in a bucket, on average, and the most that are sorted in memory at a time.
+PER_BUCKET, MOST = 250_000, 1_000_000
+#: Fingerprints whose variants are packed at a time.
+PACK = 8192
 _POPS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -87,90 +87,119 @@ def _print_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "print": [make(t) for t in b["text"]]})
 
 
-def _buckets(fingerprints: int) -> int:
-    """Buckets of the variants, a whole number for each band: some PER_BUCKET entries in one, up to 8 times as many where there would be over 8192."""
-    entries = fingerprints * BANDS * len(MASKS)
-    return -(-max(1, entries // (8 * PER_BUCKET), min(entries // PER_BUCKET, 8192)) // BANDS)
+def _top_bits(fingerprints: int) -> int:
+    """First bits of a variant that are its bucket, so that a bucket has some PER_BUCKET variants."""
+    return min(24, (fingerprints * len(MASKS) // PER_BUCKET).bit_length())
 
 
-def _variants(each: int):
-    """Packs the variants of a run of nodes by bucket: 4 bytes of variant and the low 2 bytes of the node for each, apart from a row's (bucket, high)."""
-    n_buckets = each * BANDS
-    kind = np.uint16 if n_buckets < 1 << 16 else np.uint32 if n_buckets < 1 << 32 else np.uint64
-    band = (np.arange(BANDS) * each).astype(kind)[None, :, None]
-    masks = MASKS.astype(np.uint32)
+def _variants(top: int):
+    """(bucket, high, single, data): the variants of a run of nodes by bucket.
+
+    A bucket is a band and the ``top`` first bits of a variant. All variants
+    that differ from a band's word in later bits are in the word's own bucket;
+    they travel as the word alone (single is false) and are unfolded there. The
+    others are sent one by one. Each takes 6 bytes: the word or variant, and the
+    node's low 16 bits, its others being ``high``.
+    """
+    flips = np.array([0, *(1 << (31 - j) for j in range(top))], np.uint32)
+    kind = np.uint16 if BANDS << (top + 1) <= 1 << 16 else np.uint32
+    band = (np.arange(BANDS, dtype=np.uint64) << np.uint64(top))[None, :, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, prints = [], []
         for b in batches:
-            nodes, prints = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            cut = [0, *(np.flatnonzero(np.diff(nodes >> 16)) + 1).tolist(), len(nodes)]
-            for lo, hi in zip(cut, cut[1:]):
-                for i in range(lo, hi, PACK):
-                    n = min(PACK, hi - i)
-                    yield pack(nodes[i : i + n], prints.slice(i, n).to_pylist())
+            for node, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if nodes and (len(nodes) >= PACK or node >> 16 != nodes[0] >> 16):
+                    yield pack(np.array(nodes, np.int64), prints)
+                    nodes, prints = [], []
+                nodes.append(node)
+                prints.append(one)
+        if nodes:
+            yield pack(np.array(nodes, np.int64), prints)
 
     def pack(nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
         words = np.frombuffer(b"".join(prints), ">u4").reshape(-1, BANDS).astype(np.uint32)
-        variants = words[:, :, None] ^ masks
-        # a product spreads the variants; the bucket is where it lies in the range
-        spread = (variants * np.uint32(0x9E3779B1)).astype(np.uint64)
-        spread *= np.uint64(each)
-        spread >>= np.uint64(32)
-        bucket = (spread.astype(kind) + band).reshape(-1)
-        del spread
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.concatenate((starts[1:], [len(bucket)]))
-        v = variants.reshape(-1)[order]
-        low = (nodes & 0xFFFF).astype(np.uint16)[order // (BANDS * len(masks))]
+        v = words[:, :, None] ^ flips
+        key = ((v.astype(np.uint64) >> np.uint64(32 - top)) | band) << np.uint64(1)
+        key[:, :, 1:] |= np.uint64(1)
+        key = key.reshape(-1).astype(kind)
+        order = np.argsort(key, kind="stable")
+        key, v = key[order], v.reshape(-1)[order]
+        low = (nodes & 0xFFFF).astype(np.uint16)[order // (BANDS * len(flips))]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.concatenate((starts[1:], [len(key)]))
         data = [v[s:e].tobytes() + low[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array(np.full(len(starts), nodes[0] >> 16)), pa.array(data, pa.binary())], ["bucket", "high", "data"])
+        key = key[starts].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(np.full(len(key), nodes[0] >> 16)), pa.array((key & 1).astype(bool)), pa.array(data, pa.binary())], ["bucket", "high", "single", "data"])
 
     return run
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meetings(top: int):
     """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time."""
-    seen: set[bytes] = set()
-    now, parts = None, []
-
-    def lists(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        v, nodes = [], []
-        for high, data in parts:
-            n = len(data) // 6
-            v.append(np.frombuffer(data, np.uint32, n))
-            nodes.append((high << 16) | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.int64))
-        v, nodes = np.concatenate(v), np.concatenate(nodes)
-        key = (v.astype(np.uint64) << np.uint64(32)) | np.arange(len(v), dtype=np.uint64)
-        key.sort()
-        nodes, v = nodes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], key >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(v)])))
-        two = starts[sizes == 2]
-        pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
-        names, members = [p.tobytes() for p in pairs], [pairs.reshape(-1)]
-        names = [n for n in names for _ in (0, 1)]
-        for k in np.flatnonzero(sizes > 2).tolist():
-            ids = np.sort(nodes[starts[k] : starts[k] + sizes[k]])
-            name = xxhash.xxh3_128_digest(ids.tobytes())
-            if name not in seen:
-                seen.add(name)
-                names += [name] * len(ids)
-                members.append(ids)
-        if len(seen) > 200_000:
-            seen.clear()  # lists may then come again; distinct() takes them
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
+    inner = np.array([0, *(1 << i for i in range(32 - top))], np.uint32)
+
+    def unfold(w: np.ndarray, w_nodes: np.ndarray, v: np.ndarray, v_nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(variants, nodes) of a bucket; a large one in parts by the next bits, so that equal variants stay together."""
+        size = len(w) * len(inner) + len(v)
+        split = min(32 - top, (size // MOST).bit_length())
+        if not split:
+            yield np.concatenate(((w[:, None] ^ inner).reshape(-1), v)), np.concatenate((np.repeat(w_nodes, len(inner)), v_nodes))
+            return
+        of = lambda x: (x.astype(np.uint64) >> np.uint64(32 - top - split)) & np.uint64((1 << split) - 1)
+        for part in range(1 << split):
+            vs, ns = [], []
+            for x, n in [*((w ^ m, w_nodes) for m in inner), (v, v_nodes)]:
+                here = of(x) == part
+                vs.append(x[here])
+                ns.append(n[here])
+            yield np.concatenate(vs), np.concatenate(ns)
 
-    for b in batches:
-        for bucket, high, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if bucket != now and parts:
-                yield lists(parts)
-                parts = []
-            now = bucket
-            parts.append((high, data))
-    if parts:
-        yield lists(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        now, parts = None, []
+
+        def lists(parts: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+            both = []
+            for kind in (False, True):
+                own = [(high, data) for high, single, data in parts if single == kind]
+                both.append(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(d, np.uint32, len(d) // 6) for _, d in own)]))
+                both.append(np.concatenate([np.empty(0, np.int64), *((h << 16) | np.frombuffer(d, np.uint16, len(d) // 6, len(d) // 6 * 4).astype(np.int64) for h, d in own)]))
+            for v, nodes in unfold(*both):
+                if len(v) > 1:
+                    yield met(v, nodes)
+
+        def met(v: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+            key = (v.astype(np.uint64) << np.uint64(32)) | np.arange(len(v), dtype=np.uint64)
+            key.sort()
+            nodes, v = nodes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], key >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(v)])))
+            two = starts[sizes == 2]
+            pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
+            names, members = [n for p in pairs for n in (p.tobytes(),) * 2], [pairs.reshape(-1)]
+            for k in np.flatnonzero(sizes > 2).tolist():
+                ids = np.sort(nodes[starts[k] : starts[k] + sizes[k]])
+                name = xxhash.xxh3_128_digest(ids.tobytes())
+                if name not in seen:
+                    seen.add(name)
+                    names += [name] * len(ids)
+                    members.append(ids)
+            if len(seen) > 200_000:
+                seen.clear()  # lists may then come again; distinct() takes them
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
+
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != now and parts:
+                    yield from lists(parts)
+                    parts = []
+                now = bucket
+                parts.append(row)
+        if parts:
+            yield from lists(parts)
+
+    return run
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,12 +239,12 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     the result. Texts are read whole. Other columns aren't read.
     """
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    texts = docs.select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
+    texts = text_batches(docs).select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
     prints = written(texts.mapInPandas(_print_rows, "doc_id bigint, text_key bigint, print binary").filter("print is not null").select("*", F.xxhash64("print").alias("fid")), "prints")
     own = written(prints.select("fid", "print").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprints")
-    each = _buckets(own.count())
-    packed = own.select("node", "print").mapInArrow(_variants(each), "bucket bigint, high bigint, data binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings, "list binary, node bigint").distinct()
+    top = _top_bits(own.count())
+    packed = own.select("node", "print").mapInArrow(_variants(top), "bucket bigint, high bigint, single boolean, data binary")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(top), "list binary, node bigint").distinct()
     lists = met.join(own, "node").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
     edges = written(lists.select("fids", "prints").mapInPandas(_edges, "a bigint, b bigint").distinct(), "near")
     comps = components(edges)

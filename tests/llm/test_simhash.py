@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -108,6 +109,31 @@ def test_edge_cases(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n,each", [(0, 1), (1000, 1), (236_000, 8), (14_000_000, 462), (46_000_000_000, 189_750)])
-def test_buckets(n, each):
-    assert simhash._buckets(n) == each
+@pytest.mark.parametrize("top,most", [(0, 10**9), (3, 10**9), (5, 50), (11, 10**9), (17, 3)])
+def test_variants_and_buckets(monkeypatch, top, most):
+    """Whatever the buckets, the lists are those of all variants within half the radius."""
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "PACK", 50)
+    rng = np.random.default_rng(top)
+    base = rng.integers(0, 256, (70, simhash.BITS // 8), dtype=np.uint8)
+    base = np.concatenate([base] + [base ^ np.where(rng.random(base.shape) < 0.03, 1 << rng.integers(0, 8, base.shape), 0).astype(np.uint8) for _ in range(3)])
+    nodes = np.concatenate([np.arange(100), (1 << 33) + np.arange(len(base) - 100)])
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([b.tobytes() for b in base], pa.binary())], ["node", "print"])
+    rows = [r for b in simhash._variants(top)([batch]) for r in b.to_pylist()]
+    assert len(rows) == len({(r["bucket"], r["high"], r["single"], r["data"]) for r in rows})
+    rows.sort(key=lambda r: r["bucket"])
+    got = {}
+    for b in simhash._meetings(top)([pa.RecordBatch.from_pylist(rows)]):
+        for r in b.to_pylist():
+            got.setdefault(r["list"], set()).add(r["node"])
+    want = {}
+    for n, b in zip(nodes.tolist(), base):
+        for k, w in enumerate(np.frombuffer(b.tobytes(), ">u4").tolist()):
+            for m in simhash.MASKS.tolist():
+                want.setdefault((k, w ^ m), set()).add(n)
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
+@pytest.mark.parametrize("n,top", [(0, 0), (1000, 0), (236_000, 5), (14_000_000, 11), (46_000_000_000, 23)])
+def test_top_bits(n, top):
+    assert simhash._top_bits(n) == top
