@@ -65,7 +65,7 @@ def full_terms(lex: DataFrame) -> DataFrame:
     term depends on a segment's terms only, so segments are folded apart.
     """
     big = F.when(F.col("df") > FULL_DF, 1).otherwise(0)
-    rows = running_sum(lex.select("term", "df"), term_group(F.col("term")), [F.col("term")], big, "before").withColumn("segment", F.col("before") + big)
+    rows = running_sum(lex.select("term", "df"), term_group(F.col("term")), [F.col("term")], big, "before", keep=True).withColumn("segment", F.col("before") + big)
     segments = rows.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("terms"))
     start = F.struct(F.when(F.col("segment") == 0, F.lit(SINCE + 1)).otherwise(F.lit(0)).cast("bigint").alias("since"), F.array().cast("array<boolean>").alias("flags"))
 
@@ -85,6 +85,7 @@ def entry_sizes(posts: DataFrame, sparse: bool = False) -> DataFrame:
     sizes = sizes.withColumn("bytes", F.col("body") + varbyte_length(F.col("n_chunks")))
     if not sparse:
         return sizes.select("term", "df", "n_chunks", "bytes", F.lit(True).alias("is_full"))
+    sizes = sizes.persist()  # a row a term, read for the rule and for the sizes
     length = F.octet_length("term").cast("bigint")
     head = F.when(F.col("is_full"), F.lit(0)).otherwise(1 + varbyte_length(F.col("df")) + varbyte_length(length) + length)
     return sizes.join(full_terms(sizes.select("term", "df")).select("term", "is_full"), "term").select("term", "df", "n_chunks", (F.col("bytes") + head).alias("bytes"), "is_full")
@@ -92,7 +93,7 @@ def entry_sizes(posts: DataFrame, sparse: bool = False) -> DataFrame:
 
 def positions(posts: DataFrame, sparse: bool = False) -> DataFrame:
     """(term, df, position, next_position, is_full): where each entry starts and where the next one does; the last one's next is the end."""
-    out = running_sum(entry_sizes(posts, sparse), term_group(F.col("term")), [F.col("term")], F.col("bytes"), "position")
+    out = running_sum(entry_sizes(posts, sparse), term_group(F.col("term")), [F.col("term")], F.col("bytes"), "position", keep=True)
     return out.select("term", "df", "position", (F.col("position") + F.col("bytes")).alias("next_position"), "is_full")
 
 

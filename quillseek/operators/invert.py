@@ -68,7 +68,7 @@ def stats(docs: DataFrame, first: int = 10_000) -> DataFrame:
 def term_ids(docs: DataFrame) -> DataFrame:
     """(term, term_id): numbers from 1 in the order in which terms are first seen."""
     seen = token_rows(docs).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    return number(seen, F.floor(F.col("at.doc_id") / 1000), [F.col("at")], "term_id").select("term", "term_id")
+    return number(seen, F.floor(F.col("at.doc_id") / 1000), [F.col("at")], "term_id", keep=True).select("term", "term_id")
 
 
 def with_term_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_sum(df: DataFrame, group: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before (not with) each in the order (group, order)."""
+def running_sum(df: DataFrame, group: Column, order: list[Column], value: Column, name: str, keep: bool = False) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before (not with) each in the order (group, order).
+
+    ``df`` is read twice; ``keep`` persists it, for narrow rows that are costly to make.
+    """
     rows = df.withColumns({"__g": group, "__v": value})
+    if keep:
+        rows = rows.persist()
     before = W.orderBy("__g").rowsBetween(W.unboundedPreceding, -1)
     bases = rows.groupBy("__g").agg(F.sum("__v").alias("__v")).select(F.col("__g").alias("__bg"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__base"))
     within = F.coalesce(F.sum("__v").over(W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -21,9 +26,9 @@ def running_sum(df: DataFrame, group: Column, order: list[Column], value: Column
     return joined.select(*df.columns, (F.col("__base") + F.col("__w")).alias(name))
 
 
-def number(df: DataFrame, group: Column, order: list[Column], name: str, first: int = 1) -> DataFrame:
+def number(df: DataFrame, group: Column, order: list[Column], name: str, first: int = 1, keep: bool = False) -> DataFrame:
     """``df`` with dense numbers from ``first`` in the order (group, order)."""
-    out = running_sum(df, group, order, F.lit(1).cast("bigint"), name)
+    out = running_sum(df, group, order, F.lit(1).cast("bigint"), name, keep)
     return out.withColumn(name, F.col(name) + first)
 
 
