@@ -135,6 +135,32 @@ def _variants(top: int):
     return run
 
 
+def widest(lists: list[np.ndarray], pairs: np.ndarray) -> list[np.ndarray]:
+    """The distinct lists and pairs that aren't part of another list; all pairs within a list will be compared, so these tell all."""
+    kept: list[np.ndarray] = []
+    of: dict[int, set[int]] = {}
+    none: set[int] = set()
+
+    def part_of_kept(ids: list[int]) -> bool:
+        common = of.get(ids[0], none)
+        for n in ids[1:]:
+            if not common:
+                return False
+            common = common & of.get(n, none)
+        return bool(common)
+
+    for ids in sorted(lists, key=len, reverse=True):
+        plain = ids.tolist()
+        if not part_of_kept(plain):
+            for n in plain:
+                of.setdefault(n, set()).add(len(kept))
+            kept.append(ids)
+    if of and len(pairs):
+        inside = np.isin(pairs, np.fromiter(of, np.int64, len(of))).all(1)
+        pairs = np.concatenate([pairs[~inside], *([[p] for p in pairs[inside] if not part_of_kept(p.tolist())])])
+    return kept + list(pairs)
+
+
 def _meetings(top: int):
     """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time."""
     inner = np.array([0, *(1 << i for i in range(32 - top))], np.uint32)
@@ -177,9 +203,9 @@ def _meetings(top: int):
             sizes = np.diff(np.concatenate((starts, [len(v)])))
             two = starts[sizes == 2]
             pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
-            names, members = [n for p in pairs for n in (p.tobytes(),) * 2], [pairs.reshape(-1)]
-            for k in np.flatnonzero(sizes > 2).tolist():
-                ids = np.sort(nodes[starts[k] : starts[k] + sizes[k]])
+            many = widest([np.sort(nodes[starts[k] : starts[k] + sizes[k]]) for k in np.flatnonzero(sizes > 2).tolist()], pairs)
+            names, members = [], []
+            for ids in many:
                 name = xxhash.xxh3_128_digest(ids.tobytes())
                 if name not in seen:
                     seen.add(name)
@@ -187,7 +213,7 @@ def _meetings(top: int):
                     members.append(ids)
             if len(seen) > 200_000:
                 seen.clear()  # lists may then come again; distinct() takes them
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate([np.empty(0, np.int64), *members]))], ["list", "node"])
 
         for b in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
