@@ -135,6 +135,11 @@ def _variants(top: int):
     return run
 
 
+def _name(ids: np.ndarray) -> int:
+    """A list's name. Two lists of one name would be compared as one, which finds no less."""
+    return xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
+
+
 def _meetings(top: int):
     """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time."""
     inner = np.array([0, *(1 << i for i in range(32 - top))], np.uint32)
@@ -156,7 +161,7 @@ def _meetings(top: int):
             yield np.concatenate(vs), np.concatenate(ns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         now, parts = None, []
 
         def lists(parts: list[tuple[int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -177,17 +182,17 @@ def _meetings(top: int):
             sizes = np.diff(np.concatenate((starts, [len(v)])))
             two = starts[sizes == 2]
             pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
-            names, members = [n for p in pairs for n in (p.tobytes(),) * 2], [pairs.reshape(-1)]
+            names, members = [n for p in pairs for n in (_name(p),) * 2], [pairs.reshape(-1)]
             for k in np.flatnonzero(sizes > 2).tolist():
                 ids = np.sort(nodes[starts[k] : starts[k] + sizes[k]])
-                name = xxhash.xxh3_128_digest(ids.tobytes())
+                name = _name(ids)
                 if name not in seen:
                     seen.add(name)
                     names += [name] * len(ids)
                     members.append(ids)
             if len(seen) > 200_000:
                 seen.clear()  # lists may then come again; distinct() takes them
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(members))], ["list", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(members))], ["list", "node"])
 
         for b in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -244,7 +249,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = written(prints.select("fid", "print").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprints")
     top = _top_bits(own.count())
     packed = own.select("node", "print").mapInArrow(_variants(top), "bucket bigint, high bigint, single boolean, data binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(top), "list binary, node bigint").distinct()
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(top), "list bigint, node bigint").distinct()
     lists = met.join(own, "node").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
     edges = written(lists.select("fids", "prints").mapInPandas(_edges, "a bigint, b bigint").distinct(), "near")
     comps = components(edges)
