@@ -1,12 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text is cut into chunks of lines. A rolling hash over the hashes of two
-neighbouring lines decides whether a chunk ends between lines, so that lines put
-in before a passage shift no boundary within it; a line of LONG words is always
-a chunk of its own. Chunks that come again anywhere are compared byte by byte
-with their first occurrence and removed, which itself stays. The lines beside a
-removed chunk go too as far as they are those beside the first occurrence, so
-that a passage goes up to its ends, wherever boundaries fall.
+"""Line dedup by runs of lines.
+
+A text is cut into chunks: a line of LONG words, or a shorter line with the
+blank lines after it, so that lines put in before a passage shift no boundary
+within it. Besides, each run of shorter lines from any line on, as soon as it
+has LONG words, is a window; so every passage of more words than two short lines
+and LONG have holds a whole long line or window, whatever is around it. Chunks
+and windows that come again anywhere are compared byte by byte with their first
+occurrence, which itself stays. They and the lines beside them, as far as those
+are beside the first occurrence too, are removed if together they have LONG
+words, or two lines and LEAST words.
 """
 
 from __future__ import annotations
@@ -22,43 +24,64 @@ from pyspark.sql.types import BooleanType
 
 from .common import row_key, table, text_batches, written
 
-#: A boundary follows one in DIVISOR lines.
-DIVISOR = 3
-#: Words that make a line a chunk of its own, and that a chunk of several lines needs to be removed.
+#: Words that make a line a chunk of its own, and that several lines need to be removed.
 LONG, LEAST = 20, 10
 #: Documents with first occurrences up to which those are found by a bitmap (16 bits each) before the join.
 MAX_MARKED = 16_000_000
-_M = (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, int, bool]]:
-    """(start, end, hash, whether it can be removed) for each chunk, in order; text[start:end] has its last line break."""
-    out, start, at, lines, words, before, digest = [], 0, 0, 0, 0, 0, xxhash.xxh3_64()
+def _lines(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) for each line, in order; blank lines after one of under LONG words are part of it."""
+    out, at = [], 0
+    for line in text.removesuffix("\n").split("\n"):
+        n, end = len(line.split()), min(at + len(line) + 1, len(text))
+        if n == 0 and out and out[-1][2] < LONG:
+            out[-1] = (out[-1][0], end, out[-1][2])
+        else:
+            out.append((at, end, n))
+        at = end
+    return out
 
-    def close(end: int) -> None:
-        nonlocal start, lines, words, digest
-        if lines:
-            out.append((start, end, digest.intdigest() - (1 << 63), words >= LONG or (lines > 1 and words >= LEAST)))
-        start, lines, words, digest = end, 0, 0, xxhash.xxh3_64()
 
-    for line in text.removesuffix("\n").split("\n"):
-        n, h = len(line.split()), xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-        if n >= LONG:
-            close(at)
-        digest.update(h.to_bytes(8, "little"))
-        lines, words, at = lines + 1, words + n, min(at + len(line) + 1, len(text))
-        rolling = ((before * 0x9E3779B97F4A7C15 + h) & _M) * 0xD6E8FEB86659FD93 & _M
-        if n >= LONG or (rolling >> 32) % DIVISOR == 0:
-            close(at)
-        before = h
-    close(len(text))
+def _hash(part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part.removesuffix("\n").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def chunks(text: str) -> list[tuple[int, int, int, bool]]:
+    """(start, end, hash, whether it can be removed) for each chunk, in order; text[start:end] has its last line break.
+
+    A short line can only be removed with others, so one between long lines is left to those.
+    """
+    spans = _lines(text)
+    short = [False, *(0 < n < LONG for _, _, n in spans), False]
+    fits = [n >= LONG or (n > 0 and (short[k] or short[k + 2])) for k, (_, _, n) in enumerate(spans)]
+    return [(s, e, _hash(text[s:e]) if fit else 0, fit) for (s, e, _), fit in zip(spans, fits)]
+
+
+def windows(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, hash) of the least run of short lines from each line on that has LONG words."""
+    spans, out, j, words = _lines(text), [], 0, 0
+    for i, (start, _, n) in enumerate(spans):
+        if j < i:
+            j, words = i, 0
+        while words < LONG and j < len(spans) and 0 < spans[j][2] < LONG:
+            words += spans[j][2]
+            j += 1
+        if words >= LONG:
+            end = spans[j - 1][1]
+            out.append((start, end, _hash(text[start:end])))
+        if j > i:
+            words -= n
     return out
 
 
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cols = ["d_id", "d_key", "start", "end", "hash"]
     for b in batches:
-        rows = [(i, k, s, e, h) for i, k, t in zip(b["d_id"], b["d_key"], b["text"]) for s, e, h, fit in chunks(t) if fit]
+        rows = []
+        for i, k, t in zip(b["d_id"], b["d_key"], b["text"]):
+            rows += [(i, k, s, e, h) for s, e, h, fit in chunks(t) if fit]
+            rows += [(i, k, s, e, h) for s, e, h in windows(t)]
         yield pd.DataFrame(rows, columns=cols)
 
 
@@ -66,28 +89,29 @@ def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for text, spans in zip(b["text"], b["spans"]):
-            bounds = [(s, e) for s, e, _, _ in chunks(text)]
-            at = {s: k for k, (s, _) in enumerate(bounds)}
+            bounds = [(s, e) for s, e, _ in _lines(text)]
+            first, last = {s: k for k, (s, _) in enumerate(bounds)}, {e: k for k, (_, e) in enumerate(bounds)}
             for c in spans:
-                k = at[c["start"]]
-                before = text[slice(*bounds[k - 1])] if k else None
-                after = text[slice(*bounds[k + 1])].removesuffix("\n") if k + 1 < len(bounds) else None
+                i, j = first[c["start"]], last[c["end"]]
+                before = text[slice(*bounds[i - 1])] if i else None
+                after = text[slice(*bounds[j + 1])].removesuffix("\n") if j + 1 < len(bounds) else None
                 rows.append((c["hash"], text[c["start"] : c["end"]].removesuffix("\n"), before, after))
         yield pd.DataFrame(rows, columns=["hash", "first_text", "before", "after"], dtype="object")
 
 
 def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
-    """(text without the spans that equal their first occurrence and what goes with them, chunks removed)."""
+    """(text without the spans that equal their first occurrence and what goes with them, places of those removed)."""
     if text is None or spans is None or not len(spans):
         return text, 0
-    gone = []
+    again = []
     for c in spans:
-        start, end = c["start"], c["end"]
+        at = start = c["start"]
+        end = c["end"]
         if text[start:end].removesuffix("\n") != c["first_text"]:
             continue
-        for line in reversed((c["before"] or "").splitlines(True) if c["before"] else []):
-            low = start - len(line)
-            if low < 0 or text[low:start] != line or (low and text[low - 1] != "\n"):
+        for line in reversed(c["before"].split("\n")[:-1] if c["before"] else []):
+            low = start - len(line) - 1
+            if low < 0 or text[low:start] != line + "\n" or (low and text[low - 1] != "\n"):
                 break
             start = low
         for line in c["after"].split("\n") if c["after"] is not None else []:
@@ -95,14 +119,23 @@ def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
             if end >= len(text) or text[end:high] != line or (high < len(text) and text[high] != "\n"):
                 break
             end = min(high + 1, len(text))
-        gone.append((start, end))
-    kept, at = [], 0
-    for start, end in sorted(gone):
-        kept.append(text[at : max(at, start)])
-        at = max(at, end)
+        again.append((start, end, at))
+    runs: list[tuple[int, int, set[int]]] = []  # spans that overlap are one run
+    for start, end, at in sorted(again):
+        if runs and start < runs[-1][1]:
+            runs[-1][2].add(at)
+            runs[-1] = (runs[-1][0], max(runs[-1][1], end), runs[-1][2])
+        else:
+            runs.append((start, end, {at}))
+    kept, at, gone = [], 0, 0
+    for start, end, places in runs:
+        words = [n for n in (len(line.split()) for line in text[start:end].split("\n")) if n]
+        if sum(words) >= LONG or (len(words) > 1 and sum(words) >= LEAST):
+            kept.append(text[at:start])
+            at, gone = end, gone + len(places)
     kept.append(text[at:])
     out = "".join(kept)
-    return (out.removesuffix("\n") if gone and not text.endswith("\n") else out), len(gone)
+    return (out.removesuffix("\n") if gone and not text.endswith("\n") else out), gone
 
 
 def _marked(keys: np.ndarray):
@@ -122,17 +155,19 @@ def _marked(keys: np.ndarray):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks cut from the text and a column removed_chunks put last.
-
-    A chunk is removed if it has at least LONG words, or two lines and LEAST
-    words, and its bytes came before: in a document of lesser id (then lesser
-    hash of the text; null ids first), or earlier in the same text. A document
-    all of whose chunks came before has an empty text left. Rows that repeat id
-    and text are one document and are treated alike. Null text stays null and
-    empty text empty. If two different chunks have one hash, only those like the
-    first are removed. Beside a removed chunk, lines that equal those beside the
-    first occurrence go with it, as far as its neighbouring chunk there reaches;
-    an equal line always stays at an earlier place. Columns other than the text are as they were; an existing
+    """``docs`` with repeated chunks and windows cut from the text and a column removed_chunks put last.
+
+    A chunk or window came before if its bytes did: in a document of lesser id
+    (then lesser hash of the text; null ids first), or earlier in the same text.
+    Beside it, lines that equal those beside the first occurrence go with it, as
+    far as its neighbouring chunk there reaches; an equal line always stays at
+    an earlier place. What overlaps of these is one run, which is removed if it
+    has at least LONG words, or two lines and LEAST words; blank lines don't
+    count. A document of which all came before has an empty text left. Rows that
+    repeat id and text are one document and are treated alike. Null text stays
+    null and empty text empty. If two different chunks have one hash, only those
+    like the first are removed. removed_chunks counts the places at which removed
+    chunks and windows begin. Columns other than the text are as they were; an existing
     removed_chunks is replaced.
     """
     k1, k2 = row_key(F.col(id_col), F.col(text_col))

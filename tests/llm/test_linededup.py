@@ -107,3 +107,40 @@ def test_table(spark, monkeypatch, limit):
     monkeypatch.setattr(L, "MAX_MARKED", limit)
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     assert sum(r.removed_chunks for r in check(spark, rows)) > 10
+
+
+def runs_before(rows):
+    """{id: numbers of the lines within a run of over 50 words that came before}, by all runs of all texts in order of their ids."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        ls, gone = text.split("\n"), set()
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(len(x.split()) for x in ls[a:b]) > 50:
+                    if tuple(ls[a:b]) not in seen:
+                        break
+                    gone |= set(range(a, b))
+        seen |= {tuple(ls[a:b]) for a in range(len(ls)) for b in range(a + 1, len(ls) + 1)}
+        out[i] = gone
+    return out
+
+
+@pytest.mark.parametrize("alone", [False, True])
+def test_all_repeated_runs_go(spark, alone):
+    """Runs of over 50 words in short lines, against all runs of lines; alone: each of their lines came before elsewhere."""
+    rng = random.Random(5)
+    passages = [lines(rng, n, (words, words)) for n, words in ((3, 19), (4, 15), (5, 12), (6, 10), (8, 8), (15, 6), (40, 2)) for _ in range(6)]
+    rows = []
+    if alone:
+        rows = [(n, "\n".join([*lines(rng, 1), line, *lines(rng, 1)])) for n, line in enumerate(x for p in passages for x in p)]
+    for p in passages:
+        for _ in range(2):
+            rows.append((len(rows), "\n".join(lines(rng, rng.randint(0, 4)) + p + lines(rng, rng.randint(0, 4)))))
+    want = runs_before(rows)
+    assert sum(map(bool, want.values())) == len(passages)
+    got = {r.doc_id: r.text.split("\n") for r in L.remove_repeats(spark.createDataFrame(rows, KIND)).collect()}
+    for i, text in rows:
+        ls = text.split("\n")
+        left = [ls[k] for k in want[i] if ls[k] in got[i]]
+        assert sum(len(x.split()) for x in left) < L.LONG if alone else not left
+        assert {x for k, x in enumerate(ls) if k not in want[i]} <= set(got[i])
