@@ -4,9 +4,12 @@ Vectors get 64-bit codes: PCA and a rotation learned on a bounded sample so that
 the signs lose least (iterative quantisation). A code is split into 4 substrings
 of 16 bits, each indexed. Two codes within distance RADIUS = 7 are within 1 in
 some substring, so probing the 17 values around each substring finds every code
-within the radius, and the floats rerank them. A query whose K-th neighbour so
-found is at least CERTAIN alike has no nearer one outside the radius but by rare
-chance; all other queries are compared with all vectors, in blocks.
+within the radius, and the floats rerank them. A bit of a code differs only if
+the two vectors are further apart along its direction than the query is from the
+threshold. So no vector outside the radius is nearer than the root of the sum of
+the squares of the RADIUS + 1 least of these gaps, whatever the vectors' mean: a
+query whose K-th neighbour so found is nearer than that is answered. All other
+queries are compared with all vectors, in blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 K, BITS, PARTS, RADIUS = 10, 64, 4, 7
-#: Cosine at which codes are within RADIUS for over 97 of 100 pairs.
+#: Cosine at which codes are within RADIUS for over 97 of 100 pairs if vectors have a mean near 0; it decides nothing.
 CERTAIN = 0.985
 #: Vectors that the codes are learned on, at most.
 SAMPLE = 20_000
@@ -51,6 +54,13 @@ def encode(x: np.ndarray, mean: np.ndarray, project: np.ndarray) -> np.ndarray:
     return np.packbits((x - mean) @ project >= 0, axis=1).view(">u8").astype(np.uint64).astype(np.int64)[:, 0]
 
 
+def reach(x: np.ndarray, mean: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """Square of a distance within which no vector has a code further than RADIUS from that of each row of ``x``; less a little for rounding."""
+    gaps = np.maximum(np.abs((x - mean) @ project) - 1e-5, 0).astype(np.float64)
+    stretch = max(1.0, float(np.linalg.norm(project.astype(np.float64), 2)) ** 2)
+    return (np.partition(gaps, RADIUS, axis=1)[:, : RADIUS + 1] ** 2).sum(1) / stretch - 1e-6
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1) if n else np.empty((0, 0), np.float32)
@@ -97,9 +107,9 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
         for b in batches:
             x = _matrix(b.column(1))
             if len(x):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(x, mean, project))], ["id", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(x, mean, project)), pa.array(reach(x, mean, project))], ["id", "code", "reach"])
 
-    codes = written(unit.mapInArrow(code, "id bigint, code bigint"), "codes")
+    codes = written(unit.mapInArrow(code, "id bigint, code bigint, reach double"), "codes")
     part = lambda c, t: f"cast(shiftrightunsigned({c}, {WIDTH * t}) & {(1 << WIDTH) - 1} as int)"
     parts = ", ".join(f"named_struct('t', {t}, 's', {part('code', t)})" for t in range(PARTS))
     index = codes.select("id", "code", F.expr(f"inline(array({parts}))"))
@@ -118,7 +128,7 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
     best = W.partitionBy("q").orderBy(F.desc("cosine"), "id")
     near = both.mapInArrow(rerank, "q bigint, id bigint, cosine double").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     near = written(near, "near")
-    sure = near.filter((F.col("rank") == k) & (F.col("cosine") >= CERTAIN)).select("q")
+    sure = near.filter(F.col("rank") == k).join(codes.select(F.col("id").alias("q"), "reach"), "q").filter("2 - 2 * cosine < reach").select("q")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, mats, n = [], [], 0

@@ -65,3 +65,32 @@ def test_edge_cases(spark):
     assert out == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (1, 3, 11, -1.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (2, 3, 11, -1.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0), (3, 3, 11, 0.0), (11, 1, 3, 0.0), (11, 2, 1, -1.0), (11, 3, 2, -1.0)]
     assert ann.neighbours(spark.createDataFrame(rows[:1], KIND)).count() == 0
     assert ann.neighbours(spark.createDataFrame([], KIND)).count() == 0 and ann.neighbours(spark.createDataFrame(rows[4:7], KIND)).count() == 0
+
+
+def cone(n, dim=64, inner=8, seed=3):
+    """Vectors with a large common mean: their cosines are near 1, though they lie in all directions from the mean."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, inner)) @ rng.standard_normal((inner, dim)) / np.sqrt(inner)
+    return (rng.standard_normal(dim) + 0.1 * x).astype(np.float32)
+
+
+def test_recall_with_a_large_mean(spark):
+    x = cone(4000)
+    ids = np.arange(len(x))
+    got = {}
+    for r in ann.neighbours(table(spark, x, ids)).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    want = brute(x.astype(np.float64), ids, ann.K)
+    assert np.mean([len(got[i] & set(want[i])) / ann.K for i in want]) >= 0.99
+
+
+@pytest.mark.parametrize("dim", [64, 100, 16])
+def test_nothing_outside_the_radius_is_within_reach(dim):
+    rng = np.random.default_rng(dim)
+    for x in (cone(1500, dim), np.repeat(rng.standard_normal((30, dim)), 50, 0) + 0.01 * rng.standard_normal((1500, dim))):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        mean, p = ann.learn(x)
+        code = ann.encode(x, mean, p).astype(np.uint64)
+        far = np.bitwise_count(code[:, None] ^ code[None, :]) > ann.RADIUS
+        near = 2 - 2 * x.astype(np.float64) @ x.T.astype(np.float64) < ann.reach(x, mean, p)[:, None]
+        assert near.sum() >= len(x) // 2 and not (far & near).any()
