@@ -4,7 +4,8 @@ Texts become templates: numbers, names and units are typed placeholders, other
 words are in lower case. Windows of templates are joined with those of the
 benchmark. Windows of a document and an item that lie on one diagonal must
 agree on the slots: a value of the item always stands for the same value in the
-document. So copies are caught, and questions with other numbers or names.
+document. So copies are caught, and questions with other numbers or names. Items
+that are almost only placeholders are looked for with their values as words.
 """
 
 from __future__ import annotations
@@ -84,6 +85,14 @@ def forms(text: str, names: frozenset[str]) -> list[tuple[int, list[str], dict[i
     return [(0, toks, slots), (1, plain, plain_slots)]
 
 
+def exact(text: str) -> tuple[list[str], dict[int, str]]:
+    """Form 2: the tokens in lower case with numbers and units as they are, and which of them those are."""
+    toks, slots, _ = tokens(text.lower())
+    for k, value in slots.items():
+        toks[k] = value
+    return toks, slots
+
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,11 +138,18 @@ def benchmark_windows(items: list[tuple[int, str | None]]) -> tuple[list[tuple],
             (upper if s else lower).add(t)
     names, hashes, out = frozenset(upper - lower), _Hashes(), []
     for item, text in items:
+        have = len(out)
         for form, toks, slots in forms(text or "", names):
             width = min(WINDOW, len(toks))
             spots = [i for i in range(len(toks) - width + 1) if _useful(toks[i : i + width], width)] if width else []
             hs = window_hashes(hashes.of(toks), width) if spots else ()
             out += [(item, form, len(spots), i, width, *_window(toks, slots, i, width), int(hs[i].astype(np.int64))) for i in spots]
+        if len(out) == have:  # almost only placeholders: windows with a word, all values compared
+            toks, slots = exact(text or "")
+            width = min(WINDOW, len(toks))
+            spots = [i for i in range(len(toks) - width + 1) if any(k not in slots for k in range(i, i + width))]
+            hs = window_hashes(hashes.of(toks), width) if spots else ()
+            out += [(item, 2, len(spots), i, width, " ".join(toks[i : i + width]), [], int(hs[i].astype(np.int64))) for i in spots]
     return out, names
 
 
@@ -156,7 +172,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     consistent, are at least ``coverage`` of the item's windows. kind: copy if
     no slot differs, else reparameterised. An item shorter than WINDOW tokens is
     one window; one without words, or null, is ignored, as are windows of
-    almost only placeholders. Null or empty documents have nothing. Rows that
+    almost only placeholders. An item that has no others is found only with its
+    own values, by its windows that have a word. Null or empty documents have nothing. Rows that
     repeat an id and text are one. text_key, with doc_id, names rows whose id is
     null or not unique. Other columns aren't read.
     """
@@ -180,15 +197,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     sent = None
     if seen.count() <= max_sent:
         sent = np.unique(np.array([r[0] for r in seen.select("hash").collect()], np.int64))
-    known = spark.sparkContext.broadcast((sent, names, widths))
+    values = not windows.filter("i_form = 2").isEmpty()
+    known = spark.sparkContext.broadcast((sent, names, widths, values))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent, names, widths = known.value
+        sent, names, widths, values = known.value
         hashes, cols = _Hashes(), ["doc_id", "text_key", "form", "pos", "template", "d_slots"]
         for b in batches:
             rows: list[tuple] = []
             for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"]):
-                for form, toks, slots in forms(text, names):
+                for form, toks, slots in [*forms(text, names), *([(2, exact(text)[0], {})] if values else [])]:
                     h = hashes.of(toks)
                     for width in widths:
                         w = window_hashes(h, width).astype(np.int64)

@@ -53,3 +53,13 @@ def test_passages_of_the_tables(spark):
     folder = "/root/testdata/sf0.01"
     got = {(r.doc_id, r.item_id) for r in decontam.query(spark, folder).collect()}
     assert want and want <= got and len(got - want) <= 0.05 * len(want)
+
+
+@pytest.mark.parametrize("sent", [decontam.MAX_SENT, 0])
+def test_items_of_almost_only_placeholders(spark, sent):
+    items = [(1, "What is 17 + 25?"), (2, "Convert 5 km to 5000 m."), (3, "Sort 9 8 7 6 5 4 3 2 1 0"), (4, "1 2 3 4 5 6 7 8 9 10"), (5, ITEMS[1][1])]
+    docs = [
+        (10, "Tell me. What is 17 + 25? It is 42."), (11, "what is 18 + 25? what is 17 or 25"), (12, "so CONVERT 5 KM TO 5000 M. Then"), (13, "convert 6 km to 6000 m"),
+        (14, "please sort 9 8 7 6 5 4 3 2 1 0"), (15, "9 8 7 6 5 4 3 2 1 0"), (16, "1 2 3 4 5 6 7 8 9 10"), (17, ITEMS[1][1]),
+    ]
+    assert found(spark, docs, items, max_sent=sent) == [(10, 1, "copy"), (12, 2, "copy"), (14, 3, "copy"), (17, 5, "copy")]
