@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest side, in rows, that an operator broadcasts; beyond it, it shuffles.
-BROADCAST_ROWS = 200_000
+#: Largest side, in bytes, that an operator broadcasts; beyond it, it shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Rows of text that go to Python at a time.
 TEXT_ROWS = 1000
+#: Bits of a bitmap for each of its keys, and the most bits of one (64 MB).
+MARK_BITS, MOST_BITS = 16, 1 << 29
+#: Never an id in practice; stands for the null id where ids are integers.
+NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,28 +43,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result has no lineage, so a lost executor costs a reread, and a stage
-    that is used several times is computed once.
+    that is used several times is computed once. Texts go to Python in batches
+    of TEXT_ROWS meanwhile, as both sides hold whole batches.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _text_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after setting the rows of an Arrow batch to TEXT_ROWS if the session has Spark's default.
-
-    Both the JVM and Python hold whole batches; 10,000 long texts in one could
-    be any size. Batches have no influence on results.
-    """
+@contextmanager
+def _text_batches(spark: SparkSession) -> Iterator[None]:
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(conf) == "10000":
-        df.sparkSession.conf.set(conf, str(TEXT_ROWS))
-    return df
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; it is counted first."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    before = spark.conf.get(conf)
+    if not 0 < int(before) <= TEXT_ROWS:
+        spark.conf.set(conf, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most BROADCAST_BYTES, which are summed first; ``df`` should be a written table or little more."""
+    size = F.lit(0).cast("bigint")
+    for f in df.schema:
+        c = quoted(f.name)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
+        else:
+            size = size + F.lit(16)
+    total = df.agg(F.sum(size + 32)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +88,79 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("bigint")
 
 
-def row_key(id_col: Column, text: Column) -> tuple[Column, Column]:
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that ``df`` has no column of, letter case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _integral(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _type_of(df: DataFrame, name: str) -> T.DataType:
+    return df.select(quoted(name)).schema[0].dataType
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """The id as a never-null column that sorts as it does, null first: a bigint for integers, a string for all other types."""
+    c = quoted(id_col)
+    if _integral(_type_of(df, id_col)):
+        return F.coalesce(c.cast("bigint"), F.lit(NO_ID))
+    return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c.cast("string")))
+
+
+def key_type(df: DataFrame, id_col: str) -> str:
+    return "bigint" if _integral(_type_of(df, id_col)) else "string"
+
+
+def id_back(df: DataFrame, id_col: str, key: Column) -> Column:
+    """The id, in its own type, of a key that id_key() made."""
+    kind = _type_of(df, id_col)
+    if _integral(kind):
+        return F.when(key != NO_ID, key.cast(kind))
+    return F.when(key != "", F.substring(key, 2, 2**31 - 1).cast(kind))
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     """Two never-null columns that tell rows apart unless id and text are equal."""
-    return F.coalesce(id_col.cast("bigint"), F.lit(-(2**63))), F.xxhash64(F.coalesce(text, F.lit("\0")))
+    return id_key(df, id_col), F.xxhash64(F.coalesce(quoted(text_col), F.lit("\0")))
+
+
+def bitmap(keys: DataFrame) -> Broadcast:
+    """Bits, two for each of ``keys`` (one bigint column, already hashed), for is_marked(), on all executors.
+
+    The bits are OR-ed on the executors; the driver gets words of 64 bits, at
+    most MOST_BITS in all. Beyond MOST_BITS / MARK_BITS keys, more other keys
+    pass; whoever asks has an exact join after it.
+    """
+    (name,) = keys.columns
+    n = keys.count()
+    bits = min(MOST_BITS, 1 << max(10, (MARK_BITS * n).bit_length()))
+    k = quoted(name)
+    places = F.explode(F.array(k.bitwiseAND(bits - 1), F.shiftrightunsigned(k, 32).bitwiseAND(bits - 1)))
+    words = keys.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    if words.num_rows:
+        out[words["w"].to_numpy()] = words["m"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def is_marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of ``keys`` (int64) may be one of those of bitmap()."""
+    low = np.uint64(len(bits) * 64 - 1)
+    k = keys.view(np.uint64)
+    ok = np.ones(len(k), bool)
+    for at in (k & low, (k >> np.uint64(32)) & low):
+        ok &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
