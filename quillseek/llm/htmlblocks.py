@@ -21,101 +21,201 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import id_back, id_key, key_type, quoted, small, table, written
 
 PATH, WORDS, FIGURES, HIDDEN = 32, 48, 6, 16
 DIM = PATH + WORDS + FIGURES
 #: Pages that the model is fitted on, at most; rounds over them; pages in a step.
 SAMPLE, EPOCHS, BATCH = 320, 4, 16
-_TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _CLASS = re.compile(r"""(?:class|id)\s*=\s*["']?([^"'>]+)""", re.I)
 _SKIP = frozenset("script style noscript template svg iframe object textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "body": {"head"}}
 _FENCE = frozenset("ul ol table div article section main body html td tr dl nav".split())
+_ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _SKIP}
 _WORD = re.compile(r"\w+")
+#: What is left of a step's weight in the path's vector one step further down.
+DAMPING = 0.6
+_CONTENT, _NOT, _NOT_MARKS = {"article", "main"}, {"nav", "footer", "aside", "form"}, {"ad", "ads", "advert", "nav", "menu", "footer"}
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """The block-level tags from the root to a block; each step adds to what the step above has, so deep pages cost no more."""
+
+    __slots__ = ("above", "label", "vector", "inside", "outside")
+
+    def __init__(self, above: Path | None, label: str):
+        self.above, self.label = above, label
+        self.vector = np.zeros(PATH, np.float32) if above is None else above.vector * np.float32(DAMPING)
+        self.vector[xxhash.xxh3_64_intdigest(label) % PATH] += 1
+        tag, _, mark = label.partition(".")
+        self.inside = tag in _CONTENT or (above is not None and above.inside)
+        self.outside = tag in _NOT or mark in _NOT_MARKS or (above is not None and above.outside)
+
+    @classmethod
+    def of(cls, *labels: str) -> Path | None:
+        path = None
+        for label in labels:
+            path = cls(path, label)
+        return path
+
+    def steps(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at is not None:
+            out.append(at.label)
+            at = at.above
+        return tuple(reversed(out))
+
+
+class _Open:
+    """The tags that are open, with the places of each, so that ends are found without a search."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, Path | None]] = []
+        self.places: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+
+    def path(self) -> Path | None:
+        return self.tags[-1][1] if self.tags else None
+
+    def push(self, tag: str, label: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in _FENCE:
+            self.fences.append(len(self.tags))
+        self.tags.append((tag, self.path() if tag in _INLINE else Path(self.path(), label)))
+
+    def last(self, tags) -> int:
+        """Place of the last of ``tags`` that is open, unless a container was opened after it; -1 if there is none."""
+        at = max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+        return at if not self.fences or at >= self.fences[-1] else -1
+
+    def cut(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag, _ = self.tags.pop()
+            self.places[tag].pop()
+            if tag in _FENCE:
+                self.fences.pop()
+
+
+def _tags(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, "/" for an end, name in lower case, attributes) of each tag, and the text after the last, whose name is empty.
+
+    Comments, CDATA and declarations are left out, as is what hidden elements
+    hold. Every search either moves on by what it finds or is not made again,
+    so the time is linear in the length.
+    """
+    at = begin = 0
+    parts: list[str] = []
+    unended: set[str] = set()
+    loose = False  # quotes don't balance up to the end: tags end at the next ">"
+
+    def find(what: str, start: int) -> int:
+        if what in unended:
+            return -1
+        place = html.find(what, start)
+        if place < 0:
+            unended.add(what)
+        return place
+
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            break
+        nxt = html[lt + 1 : lt + 2]
+        if nxt in ("!", "?"):
+            close = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if html.startswith(o, lt)), None)
+            end = find(close, lt + 4) if close else -1
+            end = end + 3 if end >= 0 else find(">", lt) + 1
+            if not end:
+                at = lt + 1
+                continue
+            parts.append(html[begin:lt])
+            begin = at = end
+            continue
+        m = _NAME.match(html, lt)
+        if m is None:
+            at = lt + 1
+            continue
+        end = -1
+        if not loose:
+            end = _ATTRIBUTES.match(html, m.end()).end()
+            if html[end : end + 1] != ">":
+                end, loose = -1, True
+        if end < 0:
+            end = find(">", m.end())
+        if end < 0:
+            break  # no tag ends any more
+        parts.append(html[begin:lt])
+        name, attributes, slash = m.group(1).lower(), html[m.end() : end], "/" if nxt == "/" else ""
+        begin = at = end + 1
+        if name in _SKIP:
+            if not slash and not attributes.endswith("/"):
+                close = _ENDS[name].search(html, at)
+                begin = at = close.end() if close else len(html)
+            parts.append(" ")
+            continue
+        yield "".join(parts), slash, name, attributes
+        parts.clear()
+    yield "".join(parts) + html[begin:], "", "", ""
+
+
+def blocks(html: str) -> list[tuple[Path | None, str, float]]:
     """(tag path, text, part of its letters that are link text) of every block that has text, in order.
 
-    Never fails: tags that aren't closed or opened are tolerated, a tag that
-    isn't ended is text, and scripts that aren't ended reach to the end.
+    Never fails, and takes time in proportion to the length: tags that aren't
+    closed or opened are tolerated, a tag that isn't ended is text, and scripts
+    that aren't ended reach to the end.
     """
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+    out: list[tuple[Path | None, str, float]] = []
+    tags = _Open()
     parts: list[str] = []
-    linked = at = 0
-    end = len(html)
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                path = tuple(label for tag, label in stack if tag not in _INLINE)
-                out.append((path, text, min(1.0, linked / len(text))))
+                out.append((tags.path(), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
+    for text, slash, name, attributes in _tags(html):
         if text:
             parts.append(text)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if tags.places.get("a"):
                 linked += len(text)
-
-    while at < end:
-        m = _TAG.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        name = m.group(2)
         if not name:
             continue
-        name = name.lower()
-        if name in _SKIP:
-            if not m.group(1) and not m.group(3).endswith("/"):
-                close = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(html, at)
-                at = close.end() if close else end
-            parts.append(" ")
-            continue
         if name not in _INLINE:
             flush()
-        if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _FENCE and name not in _FENCE:
-                    break  # closes nothing beyond its container
+        if slash:
+            at = (tags.places.get(name) or [-1])[-1] if name in _FENCE else tags.last((name,))
+            if at >= 0:
+                tags.cut(at)
             continue
         if name in _VOID:
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in _CLOSES.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in _FENCE:
-                break
+        if (at := tags.last(_CLOSES.get(name, ()))) >= 0:
+            tags.cut(at)
         if name not in _INLINE:  # inline tags that were left open end with their block
-            while stack and stack[-1][0] in _INLINE:
-                stack.pop()
-        if not m.group(3).endswith("/"):
-            mark = _CLASS.search(m.group(3)) if m.group(3) else None
-            stack.append((name, f"{name}.{mark.group(1).split()[0].lower()}" if mark and mark.group(1).split() else name))
+            n = len(tags.tags)
+            while n and tags.tags[n - 1][0] in _INLINE:
+                n -= 1
+            tags.cut(n)
+        if not attributes.endswith("/"):
+            mark = _CLASS.search(attributes) if attributes else None
+            tags.push(name, f"{name}.{mark.group(1).split()[0].lower()}" if mark and mark.group(1).split() else name)
     flush()
     return out
 
 
-def silver(path: tuple[str, ...]) -> bool:
+def silver(path: Path | None) -> bool:
     """What the markup says: within article or main, and not in navigation, a footer, an aside or an advertisement."""
-    tags = {p.split(".")[0] for p in path}
-    marks = {p.split(".")[1] for p in path if "." in p}
-    return bool(tags & {"article", "main"}) and not tags & {"nav", "footer", "aside", "form"} and not marks & {"ad", "ads", "advert", "nav", "menu", "footer"}
+    return path is not None and path.inside and not path.outside
 
 
 class Features:
@@ -131,14 +231,14 @@ class Features:
             h = self.slot[word] = (d % WORDS) * 2 + (d >> 63)
         return h
 
-    def __call__(self, page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+    def __call__(self, page: list[tuple[Path | None, str, float]]) -> np.ndarray:
         """(blocks, DIM); all words of a block count."""
         n = len(page)
         x = np.zeros((n, DIM), np.float32)
         sizes, slots = np.zeros(n, np.int64), []
         for i, (path, text, links) in enumerate(page):
-            for depth, step in enumerate(reversed(path[-5:])):
-                x[i, xxhash.xxh3_64_intdigest(step) % PATH] += 1.0 / (1 + depth)
+            if path is not None:
+                x[i, :PATH] = path.vector
             words = _WORD.findall(text.lower())
             slots += map(self._of, words)
             sizes[i] = len(words)
@@ -271,22 +371,28 @@ def label(p: dict[str, np.ndarray], pages: list[list], make: Features, group: in
     return out
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model from the ``sample`` pages whose ids hash least; null pages aren't used."""
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    ids = F.broadcast(rows.orderBy("h", "id").limit(sample).select("id").distinct())
-    got = pages.withColumn("__id", F.col(id_col).cast("string")).join(ids, F.col("__id").eqNullSafe(ids["id"]), "left_semi").filter(F.col(html_col).isNotNull())
-    texts = [r[0] for r in got.select(F.col(html_col)).orderBy(F.xxhash64(html_col), html_col).limit(sample).collect()]
-    return train(texts)
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
+    """A model from the ``sample`` labelled pages whose ids hash least: those that have an article or main tag. Without any such page, None; see extract()."""
+    html, key = quoted(html_col), id_key(pages, id_col)
+    marked = pages.filter(html.rlike(r"(?i)<(article|main)[\s>]"))
+    ids = marked.select(key.alias("id"), F.xxhash64(html).alias("h")).orderBy(F.xxhash64("id"), "id", "h").limit(sample).distinct()
+    a, b = "sample_id", "sample_h"
+    chosen = small(written(ids.select(F.col("id").alias(a), F.col("h").alias(b)), "html-sample"))  # at most ``sample`` rows
+    texts = pages.select(key.alias("id"), html.alias("html")).join(chosen, (F.col("id") == F.col(a)) & (F.xxhash64("html") == F.col(b)), "left_semi")
+    rows = texts.select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(sample).collect()
+    return train([r[0] for r in rows]) if rows else None
 
 
-def extract(pages: DataFrame, model: dict[str, np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, model: dict[str, np.ndarray] | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, n_blocks, n_content, labels, text) for every row.
 
     labels has 1 or 0 for each block in order; text has the content blocks, one a
     line. Null html gives null labels and text and no block; html without text
     gives empty ones. Pages are read whole; repeated rows give repeated results.
-    Other columns aren't read.
+    Ids keep their type; no pages give no rows. Other columns aren't read.
+
+    Without a model (no page had the markup that labels are made of), a block is
+    content if less than half of it is link text and it has ten words.
     """
     known = pages.sparkSession.sparkContext.broadcast(model)  # some 12,000 numbers, whatever the pages
 
@@ -296,7 +402,7 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], id_col: str = "page_
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
                 found = [blocks(h) if h else [] for h in part["html"]]
-                marks = label(known.value, found, make)
+                marks = label(known.value, found, make) if known.value is not None else [np.array([links < 0.5 and len(t.split()) >= 10 for _, t, links in f], bool) for f in found]
                 yield pd.DataFrame(
                     {
                         "page_id": part["page_id"], "url": part["url"], "n_blocks": [len(f) for f in found], "n_content": [int(m.sum()) for m in marks],
@@ -305,8 +411,9 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray], id_col: str = "page_
                     }
                 )
 
-    rows = text_batches(pages).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "page_id bigint, url string, n_blocks int, n_content int, labels string, text string")
+    rows = pages.select(id_key(pages, id_col).alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"))
+    out = rows.mapInPandas(run, f"page_id {key_type(pages, id_col)}, url string, n_blocks int, n_content int, labels string, text string")
+    return out.withColumn("page_id", id_back(pages, id_col, F.col("page_id")))
 
 
 def query(spark, sf_dir):
