@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_back, id_key, key_type, quoted, table
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "ai": "assistant", "model": "assistant", "developer": "system"}
@@ -110,11 +110,12 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
     Turns are taken by number (null first), then role, then text, so that ties
     and repeated rows have one order; repeated rows are turns of their own. Null
-    ids are one conversation. Null or unknown roles get a role at cost NAME.
-    Other columns aren't read; an empty table gives an empty one.
+    ids are one conversation; ids keep their type. Null or unknown roles get a
+    role at cost NAME. Texts of any length are rendered whole; a conversation is
+    a row. Other columns aren't read; an empty table gives an empty one.
     """
-    turns = conversations.groupBy(F.col(id_col).cast("bigint").alias("conv_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")))).alias("turns")
+    turns = conversations.groupBy(id_key(conversations, id_col).alias("conv_id")).agg(
+        F.sort_array(F.collect_list(F.struct(quoted(turn_col).alias("turn"), quoted(role_col).cast("string").alias("role"), quoted(text_col).cast("string").alias("text")))).alias("turns")
     )
     lists = turns.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
@@ -123,7 +124,8 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
             got = [repair(list(zip(r, t))) for r, t in zip(b["roles"], b["texts"])]
             yield pd.DataFrame({"conv_id": b["conv_id"], "given_turns": [len(r) for r in b["roles"]], "cost": [c for c, _ in got], "roles": [",".join(r for r, _ in t) for _, t in got], "rendered": [render(t) for _, t in got]})
 
-    return lists.mapInPandas(run, "conv_id bigint, given_turns int, cost int, roles string, rendered string")
+    out = lists.mapInPandas(run, f"conv_id {key_type(conversations, id_col)}, given_turns int, cost int, roles string, rendered string")
+    return out.withColumn("conv_id", id_back(conversations, id_col, F.col("conv_id")))
 
 
 def query(spark, sf_dir):

@@ -19,12 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small, table, text_batches
+from .common import bitmap, id_back, id_key, is_marked, key_type, quoted, row_key, small, spare, table, written
 
 #: Tokens in a window, least literal words in one, and part of an item's windows that a document must have.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
-#: Hashes of benchmark windows that are sent to all executors; with more, all windows of the documents are shuffled.
-MAX_SENT = 4_000_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute "
@@ -127,30 +125,32 @@ def _useful(toks: list[str], width: int) -> bool:
     return sum(t not in (NUM, NAME, UNIT) for t in toks) >= min(LITERALS, width)
 
 
-def benchmark_windows(items: list[tuple[int, str | None]]) -> tuple[list[tuple], frozenset[str]]:
-    """([(item_id, form, windows of the form, index, width, template, slot values, hash)], names).
+def item_windows(text: str | None, names: frozenset[str], hashes: _Hashes) -> list[tuple]:
+    """[(form, windows of the form, index, template, slot values, hash)] of one item."""
+    out = []
+    for form, toks, slots in forms(text or "", names):
+        width = min(WINDOW, len(toks))
+        spots = [i for i in range(len(toks) - width + 1) if _useful(toks[i : i + width], width)] if width else []
+        hs = window_hashes(hashes.of(toks), width) if spots else ()
+        out += [(form, len(spots), i, width, *_window(toks, slots, i, width), int(hs[i].astype(np.int64))) for i in spots]
+    if not out:  # almost only placeholders: windows with a word, all values compared
+        toks, slots = exact(text or "")
+        width = min(WINDOW, len(toks))
+        spots = [i for i in range(len(toks) - width + 1) if any(k not in slots for k in range(i, i + width))]
+        hs = window_hashes(hashes.of(toks), width) if spots else ()
+        out += [(2, len(spots), i, width, " ".join(toks[i : i + width]), [], int(hs[i].astype(np.int64))) for i in spots]
+    return out
 
-    names: words that the items have with a capital within a sentence and never in lower case.
-    """
-    upper, lower = set(), set()
-    for _, text in items:
-        for t, s in _cased(text or ""):
-            (upper if s else lower).add(t)
-    names, hashes, out = frozenset(upper - lower), _Hashes(), []
-    for item, text in items:
-        have = len(out)
-        for form, toks, slots in forms(text or "", names):
-            width = min(WINDOW, len(toks))
-            spots = [i for i in range(len(toks) - width + 1) if _useful(toks[i : i + width], width)] if width else []
-            hs = window_hashes(hashes.of(toks), width) if spots else ()
-            out += [(item, form, len(spots), i, width, *_window(toks, slots, i, width), int(hs[i].astype(np.int64))) for i in spots]
-        if len(out) == have:  # almost only placeholders: windows with a word, all values compared
-            toks, slots = exact(text or "")
-            width = min(WINDOW, len(toks))
-            spots = [i for i in range(len(toks) - width + 1) if any(k not in slots for k in range(i, i + width))]
-            hs = window_hashes(hashes.of(toks), width) if spots else ()
-            out += [(item, 2, len(spots), i, width, " ".join(toks[i : i + width]), [], int(hs[i].astype(np.int64))) for i in spots]
-    return out, names
+
+def benchmark_names(texts: DataFrame) -> frozenset[str]:
+    """Words that the items (column text) have with a capital within a sentence and never in lower case."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(sorted({w for t in b["text"] for w in _cased(t or "")}), columns=["word", "upper"])
+
+    both = texts.mapInPandas(words, "word string, upper boolean").groupBy("word").agg(F.bool_and("upper").alias("upper"))
+    return frozenset(r[0] for r in both.filter("upper").collect())
 
 
 def _cased(text: str) -> Iterator[tuple[str, bool]]:
@@ -165,87 +165,81 @@ def _cased(text: str) -> Iterator[tuple[str, bool]]:
         start = False
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, max_sent: int = MAX_SENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, item_id, coverage, kind) for each document and item that it has.
 
     A document has an item if windows of it, on diagonals whose slots are
     consistent, are at least ``coverage`` of the item's windows. kind: copy if
-    no slot differs, else reparameterised. An item shorter than WINDOW tokens is
+    no slot differs where most of the item is found, else reparameterised. An item shorter than WINDOW tokens is
     one window; one without words, or null, is ignored, as are windows of
     almost only placeholders. An item that has no others is found only with its
-    own values, by its windows that have a word. Null or empty documents have nothing. Rows that
-    repeat an id and text are one. text_key, with doc_id, names rows whose id is
-    null or not unique. Other columns aren't read.
+    own values, by its windows that have a word. Null or empty documents have
+    nothing, and an empty table on either side gives an empty one. Texts are
+    read whole. Rows that repeat an id and text are one; texts that share an item
+    id are items of their own. Ids keep their types. text_key, with doc_id, names
+    rows whose id is null or not unique. Other columns aren't read.
     """
+    found = _leaks(docs, benchmark, coverage, id_col, text_col, item_col, item_text_col)
+    return found.select(id_back(docs, id_col, F.col("d_id")).alias("doc_id"), F.col("d_key").alias("text_key"), id_back(benchmark, item_col, F.col("item")).alias("item_id"), "coverage", "kind")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """find_leaks() with the keys (d_id, d_key) of the documents and (item) of the items."""
     spark = docs.sparkSession
-    schema = "item_id bigint, i_form int, n_windows int, idx int, width int, template string, i_slots array<string>, hash bigint"
+    item_type, doc_type = key_type(benchmark, item_col), key_type(docs, id_col)
+    i1, i2 = row_key(benchmark, item_col, item_text_col)
+    items = benchmark.select(i1.alias("item"), i2.alias("item_key"), quoted(item_text_col).alias("text")).distinct()
+    names = benchmark_names(items.select("text"))
+    cols = ["item", "item_key", "i_form", "n_windows", "idx", "width", "template", "i_slots", "hash"]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = [(int(i), t) for b in batches for i, t in zip(b["item_id"], b["text"])]
-        rows = benchmark_windows(sorted(items, key=lambda x: (x[0], x[1] or "")))
-        yield pd.DataFrame(rows[0], columns=["item_id", "i_form", "n_windows", "idx", "width", "template", "i_slots", "hash"])
-        yield pd.DataFrame([(-1, -1, 0, 0, 0, n, [], 0) for n in sorted(rows[1])], columns=["item_id", "i_form", "n_windows", "idx", "width", "template", "i_slots", "hash"])
-
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("bigint"), F.lit(-1)).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
-    from .common import written
-
-    built = written(bench.coalesce(1).mapInPandas(build, schema), "benchmark-windows")
-    names = frozenset(r[0] for r in built.filter("i_form < 0").select("template").distinct().collect())
-    windows = built.filter("i_form >= 0")
-    seen = windows.select("hash", "width").distinct()
+        hashes = _Hashes()
+        for b in batches:
+            yield pd.DataFrame([(i, k, *w) for i, k, t in zip(b["item"], b["item_key"], b["text"]) for w in item_windows(t, names, hashes)], columns=cols)
+
+    windows = written(items.mapInPandas(build, f"item {item_type}, item_key bigint, i_form int, n_windows int, idx int, width int, template string, i_slots array<string>, hash bigint"), "benchmark-windows")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())
-    sent = None
-    if seen.count() <= max_sent:
-        sent = np.unique(np.array([r[0] for r in seen.select("hash").collect()], np.int64))
     values = not windows.filter("i_form = 2").isEmpty()
-    known = spark.sparkContext.broadcast((sent, names, widths, values))
+    sent = bitmap(windows.select("hash").distinct())  # what passes by chance has no equal template in the join
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent, names, widths, values = known.value
-        hashes, cols = _Hashes(), ["doc_id", "text_key", "form", "pos", "template", "d_slots"]
+        hashes, cols = _Hashes(), ["d_id", "d_key", "form", "pos", "template", "d_slots"]
         for b in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(b["doc_id"], b["text_key"], b["text"]):
+            for doc, key, text in zip(b["d_id"], b["d_key"], b["text"]):
                 for form, toks, slots in [*forms(text, names), *([(2, exact(text)[0], {})] if values else [])]:
                     h = hashes.of(toks)
                     for width in widths:
-                        w = window_hashes(h, width).astype(np.int64)
-                        if sent is not None and len(w):
-                            at = np.searchsorted(sent, w)
-                            at[at == len(sent)] = 0
-                            spots = np.flatnonzero(sent[at] == w).tolist()
-                        else:
-                            spots = range(len(w))
+                        spots = np.flatnonzero(is_marked(sent.value, window_hashes(h, width).view(np.int64))).tolist()
                         rows += [(doc, key, form, i, *_window(toks, slots, i, width)) for i in spots]
                     if len(rows) > 20_000:
                         yield pd.DataFrame(rows, columns=cols)
                         rows = []
             yield pd.DataFrame(rows, columns=cols)
 
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    texts = text_batches(docs).filter(F.col(text_col).isNotNull()).select(k1.alias("doc_id"), k2.alias("text_key"), F.col(text_col).alias("text"))
-    hits = texts.mapInPandas(scan, "doc_id bigint, text_key bigint, form int, pos int, template string, d_slots array<string>").distinct()
-    pairs = hits.join(small(windows), "template")
-    key = ["doc_id", "text_key", "item_id"]
+    k1, k2 = row_key(docs, id_col, text_col)
+    texts = docs.filter(quoted(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), quoted(text_col).alias("text"))
+    hits = written(texts.mapInPandas(scan, f"d_id {doc_type}, d_key bigint, form int, pos int, template string, d_slots array<string>"), "benchmark-hits").distinct()
+    pairs = hits.join(small(windows.drop("hash", "width")), "template")
+    key = ["d_id", "d_key", "item", "item_key"]
     slot_pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("i_slots", "d_slots"))))
     lines = pairs.groupBy(*key, "i_form", "n_windows", "form", (F.col("pos") - F.col("idx")).alias("diagonal")).agg(F.collect_set("idx").alias("idx"), slot_pairs.alias("slots"))
     lines = lines.withColumn("values", F.expr("size(array_distinct(transform(slots, s -> s.i_slots)))")).filter(F.col("values") == F.size("slots"))
     lines = lines.withColumn("same", F.expr("forall(slots, s -> lower(s.i_slots) = lower(s.d_slots))"))
-    found = lines.groupBy(*key, "i_form", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("idx")))).alias("has"), F.max("same").alias("same"))
-    found = found.withColumn("coverage", F.col("has") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
-    best = found.groupBy(*key).agg(F.max("coverage").alias("coverage"), F.when(F.max("same"), F.lit("copy")).otherwise(F.lit("reparameterised")).alias("kind"))
-    return best.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "text_key", F.when(F.col("item_id") >= 0, F.col("item_id")).alias("item_id"), "coverage", "kind")
+    of = lambda idx: F.size(F.array_distinct(F.flatten(F.collect_list(idx))))
+    found = lines.groupBy(*key, "i_form", "n_windows").agg(of("idx").alias("has"), of(F.when(F.col("same"), F.col("idx"))).alias("alike"))
+    found = found.withColumns({"coverage": F.col("has") / F.col("n_windows"), "same": F.col("has") == F.col("alike")}).filter(F.col("coverage") >= coverage)
+    best = found.groupBy("d_id", "d_key", "item").agg(F.max(F.struct("coverage", "same")).alias("best"))
+    return best.select("d_id", "d_key", "item", "best.coverage", F.when(F.col("best.same"), F.lit("copy")).otherwise(F.lit("reparameterised")).alias("kind"))
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which find_leaks() finds an item; all columns as they are."""
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    leaks = find_leaks(docs, benchmark, **how).select("doc_id", "text_key").distinct()
-    from .common import written
-
-    found = written(leaks.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__leak_id"), F.col("text_key").alias("__leak_key")), "leaks")
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    return docs.join(small(found), (k1 == F.col("__leak_id")) & (k2 == F.col("__leak_key")), "left_anti")
+    leaks = _leaks(docs, benchmark, coverage, id_col, text_col, item_col, item_text_col)
+    a, b = spare(docs, "leak_id", "leak_key")
+    found = written(leaks.select(F.col("d_id").alias(a), F.col("d_key").alias(b)).distinct(), "leaks")
+    k1, k2 = row_key(docs, id_col, text_col)
+    return docs.join(small(found), (k1 == F.col(a)) & (k2 == F.col(b)), "left_anti")
 
 
 def query(spark, sf_dir):

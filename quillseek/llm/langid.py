@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import id_back, id_key, key_type, quoted, small, table, written
 
 #: N-grams in a list; labelled documents a language that profiles are fitted on, at most.
 PROFILE, SAMPLE = 400, 400
@@ -65,10 +65,11 @@ def top_grams(counts: dict[int, int] | np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict[str, list[int]]:
     """language: its n-grams by rank, from the ``sample`` labelled rows a language whose ids hash least."""
-    ids = text_batches(docs).filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
+    lang, key = quoted(lang_col).cast("string"), id_key(docs, id_col)
+    ids = docs.filter(quoted(lang_col).isNotNull() & quoted(id_col).isNotNull()).select(lang.alias("lang"), key.alias("id"))
     first = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("n") <= sample)
-    chosen = first.select("lang", "id").distinct()  # at most ``sample`` rows a language
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), ["lang", "id"])
+    chosen = small(written(first.select("lang", "id").distinct(), "profile-sample"))  # at most ``sample`` rows a language
+    rows = docs.select(lang.alias("lang"), key.alias("id"), quoted(text_col).alias("text")).filter("text is not null").join(chosen, ["lang", "id"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,19 +121,12 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     language, distance and margin are null) and for one of at least MIN_GRAMS
     n-grams whose distance to the nearest profile is over MAX_DISTANCE. The
     declared language decides nothing. Without profiles, every text that has
-    letters is accepted and its language is null. Texts are read whole; repeated
-    rows give repeated results; null ids are kept.
+    letters is accepted and its language is null. Of equally near languages, the
+    first by name is taken. Texts are read whole; repeated rows give repeated
+    results; null ids are kept and ids keep their type. An empty table gives an
+    empty one. Other columns aren't read.
     """
-    return text_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("declared"), F.col(text_col).alias("text")).mapInPandas(
-        _labeller(profiles, None), "doc_id bigint, declared string, language string, distance double, margin double, accepted boolean"
-    )
 
-
-def _accepted(distance: float | None, grams: int) -> bool:
-    return grams > 0 and (distance is None or grams < MIN_GRAMS or distance <= MAX_DISTANCE)
-
-
-def _labeller(profiles, _):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(profiles)
         for b in batches:
@@ -144,7 +138,13 @@ def _labeller(profiles, _):
                 }
             )
 
-    return run
+    rows = docs.select(id_key(docs, id_col).alias("doc_id"), quoted(lang_col).cast("string").alias("declared"), quoted(text_col).alias("text"))
+    out = rows.mapInPandas(run, f"doc_id {key_type(docs, id_col)}, declared string, language string, distance double, margin double, accepted boolean")
+    return out.withColumn("doc_id", id_back(docs, id_col, F.col("doc_id")))
+
+
+def _accepted(distance: float | None, grams: int) -> bool:
+    return grams > 0 and (distance is None or grams < MIN_GRAMS or distance <= MAX_DISTANCE)
 
 
 def accept(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text") -> DataFrame:
@@ -156,7 +156,7 @@ def accept(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
         for t in texts:
             yield pd.Series([_accepted((s := ranker.score(x))[1], s[3]) for x in t], dtype=bool)
 
-    return text_batches(docs).filter(accepted(F.col(text_col)))
+    return docs.filter(accepted(quoted(text_col)))
 
 
 def query(spark, sf_dir):

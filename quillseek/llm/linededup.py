@@ -20,14 +20,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .common import row_key, table, text_batches, written
+from .common import bitmap, is_marked, key_type, quoted, row_key, spare, table, written
 
 #: Words that make a line a chunk of its own, and that several lines need to be removed.
 LONG, LEAST = 20, 10
-#: Documents with first occurrences up to which those are found by a bitmap (16 bits each) before the join.
-MAX_MARKED = 16_000_000
 
 
 def _lines(text: str) -> list[tuple[int, int, int]]:
@@ -138,24 +135,19 @@ def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
     return (out.removesuffix("\n") if gone and not text.endswith("\n") else out), gone
 
 
-def _marked(keys: np.ndarray):
-    """A filter on hashes of texts that lets all of ``keys`` pass and few others."""
-    bits = 1 << max(10, int(16 * len(keys)).bit_length())
-    bitmap = np.zeros(bits // 8, np.uint8)
-    places = lambda k: (k & (bits - 1), (k >> 32) & (bits - 1))
-    for at in places(keys):
-        np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+def _marked(keys: DataFrame):
+    """A filter on a hash that lets all of ``keys``, one column of such hashes, pass and few others."""
+    bits = bitmap(keys)
 
-    @F.pandas_udf(BooleanType())
+    @F.pandas_udf("boolean")
     def passes(key: pd.Series) -> pd.Series:
-        k = key.to_numpy(np.int64)
-        return pd.Series(np.logical_and(*[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places(k)]))
+        return pd.Series(is_marked(bits.value, key.to_numpy(np.int64)))
 
     return passes
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks and windows cut from the text and a column removed_chunks put last.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "removed_chunks") -> DataFrame:
+    """``docs`` with repeated chunks and windows cut from the text and a column ``count_col`` put last.
 
     A chunk or window came before if its bytes did: in a document of lesser id
     (then lesser hash of the text; null ids first), or earlier in the same text.
@@ -166,37 +158,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count. A document of which all came before has an empty text left. Rows that
     repeat id and text are one document and are treated alike. Null text stays
     null and empty text empty. If two different chunks have one hash, only those
-    like the first are removed. removed_chunks counts the places at which removed
-    chunks and windows begin. Columns other than the text are as they were; an existing
-    removed_chunks is replaced.
+    like the first are removed. ``count_col`` counts the places at which removed
+    chunks and windows begin. Columns other than the text are as they were; an
+    existing ``count_col`` is replaced. Ids of any type keep it; those that aren't
+    integers sort as text. Texts are cut whole, however long they are. An empty
+    table gives an empty one.
     """
-    k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    texts = text_batches(docs).filter(F.col(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), F.col(text_col).alias("text"))
-    spots = written(texts.mapInPandas(_chunk_rows, "d_id bigint, d_key bigint, start int, end int, hash bigint"), "chunks")
+    k1, k2 = row_key(docs, id_col, text_col)
+    kind = f"d_id {key_type(docs, id_col)}, d_key bigint"
+    texts = docs.filter(quoted(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), quoted(text_col).alias("text"))
+    spots = written(texts.mapInPandas(_chunk_rows, f"{kind}, start int, end int, hash bigint"), "chunks")
     place = F.struct("d_id", "d_key", "start")
     ends = spots.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("d_id", "d_key", "start", "end")).alias("at"))
     repeated = written(ends.filter("first <> last").select("hash", "at.*"), "repeated")
     # the texts of first occurrences
     wanted = repeated.groupBy("d_id", "d_key").agg(F.collect_list(F.struct("hash", "start", "end")).alias("spans"))
-    keys = repeated.select("d_key").distinct()
-    if keys.limit(MAX_MARKED + 1).count() <= MAX_MARKED:
-        marked = keys.toArrow()["d_key"].to_numpy()
-        holders = texts.filter(_marked(marked)(F.col("d_key")))
-    else:
-        holders = texts
-    kind = "hash bigint, first_text string, before string, after string"
-    firsts = holders.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, kind).dropDuplicates(["hash"])
+    holders = texts.filter(_marked(repeated.select("d_key").distinct())(F.col("d_key")))
+    firsts = holders.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, "hash bigint, first_text string, before string, after string").dropDuplicates(["hash"])
     again = spots.join(repeated.select("hash", F.struct("d_id", "d_key", "start").alias("first")), "hash").filter(place != F.col("first")).select("d_id", "d_key", "start", "end", "hash").distinct()
-    spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias("__cut_id"), F.col("d_key").alias("__cut_key")).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias("__cut"))
+    a, b, c, spans_name, done = spare(docs, "cut_id", "cut_key", "cut_hash", "cut_spans", "cut_done")
+    spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias(a), F.col("d_key").alias(b)).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias(spans_name))
 
     @F.pandas_udf("struct<text: string, n: int>")
     def cut_all(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, s) for t, s in zip(text, spans)], columns=["text", "n"])
 
-    names = [c for c in docs.columns if c.lower() != "removed_chunks"]
-    joined = docs.select(*names).withColumns({"__k1": k1, "__k2": k2}).join(spans, (F.col("__k1") == F.col("__cut_id")) & (F.col("__k2") == F.col("__cut_key")), "left")
-    done = joined.withColumn("__done", cut_all(F.col(text_col), F.col("__cut")))
-    return done.select(*[F.col("__done.text").alias(c) if c.lower() == text_col.lower() else F.col(c) for c in names], F.col("__done.n").alias("removed_chunks"))
+    names = [x for x in docs.columns if x.lower() != count_col.lower()]
+    rows = docs.select(*map(quoted, names), k2.alias(c))
+    joined = rows.join(spans, (k1 == F.col(a)) & (F.col(c) == F.col(b)), "left").withColumn(done, cut_all(quoted(text_col), F.col(spans_name)))
+    return joined.select(*[F.col(done)["text"].alias(x) if x.lower() == text_col.lower() else quoted(x) for x in names], F.col(done)["n"].alias(count_col))
 
 
 def query(spark, sf_dir):

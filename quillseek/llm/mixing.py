@@ -9,13 +9,16 @@ Nothing is sorted but the 4096 sums of a bucket.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small, word_count, written
+from .common import quoted, small, spare, table, word_count, written
 
 BITS, LEVELS = 12, 4
 #: Parts of all tokens, per thousand, that the nested mixes have.
@@ -28,22 +31,32 @@ def row_hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(of), 1, BITS * LEVELS // 4), 16, 10).cast("bigint")
 
 
-def thresholds(sized: DataFrame, weights: dict[str, int] | None, budgets: tuple[int, ...]) -> DataFrame:
+def whole_weights(weights: dict[str | None, float]) -> list[tuple[str | None, Decimal]]:
+    """The weights in whole numbers of the same ratios; fractions are taken as they are printed."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights can't be negative")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return [(k, Decimal(int(w * scale))) for k, w in exact.items()]
+
+
+def thresholds(sized: DataFrame, weights: dict[str | None, float] | None, budgets: tuple[int, ...]) -> DataFrame:
     """(src, tier, below): a row of ``src`` belongs to the mix ``tier`` if its hash is less than ``below``.
 
-    ``sized`` has src, h and tokens and is read once a level.
+    ``sized`` has src, h and tokens and is read once a level. Budgets are
+    counted in decimals of 38 digits.
     """
     spark = sized.sparkSession
     by = sized.groupBy("src").agg(F.sum("tokens").alias("total"))
     if weights:
-        known = spark.createDataFrame(list(weights.items()), "w_src string, w bigint")
-        by = by.join(F.broadcast(known), F.col("src").eqNullSafe(F.col("w_src")), "left").select("src", "total", F.coalesce("w", F.lit(0)).alias("w"))
+        known = spark.createDataFrame(whole_weights(weights), "w_src string, w decimal(38,0)")
+        by = by.join(F.broadcast(known), F.col("src").eqNullSafe(F.col("w_src")), "left").select("src", "total", F.coalesce("w", F.lit(Decimal(0))).cast("decimal(38,0)").alias("w"))
     else:
-        by = by.withColumn("w", F.lit(1).cast("bigint"))
-    whole = by.agg(F.sum("total").alias("all_tokens"), F.sum("w").alias("all_w"))
+        by = by.withColumn("w", F.lit(Decimal(1)).cast("decimal(38,0)"))
+    whole = by.agg(F.sum("total").cast("decimal(38,0)").alias("all_tokens"), F.sum("w").cast("decimal(38,0)").alias("all_w"))
     tiers = spark.createDataFrame([(t,) for t in sorted(budgets)], "tier int")
     bound = by.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(tiers)).select(
-        "src", "tier", F.expr("coalesce((all_tokens * tier * w) div (1000 * nullif(all_w, 0)), 0)").alias("budget"),
+        "src", "tier", F.expr("coalesce(cast((all_tokens * tier * w) div (1000 * nullif(all_w, 0)) as bigint), 0)").alias("budget"),
         F.lit(0).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("low"), F.lit(True).alias("open"),
     )
     bound = written(bound, "mix-bounds")
@@ -66,34 +79,34 @@ def thresholds(sized: DataFrame, weights: dict[str, int] | None, budgets: tuple[
     return bound.select("src", "tier", F.col("low").alias("below"))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, budgets: tuple[int, ...] = BUDGETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, budgets: tuple[int, ...] = BUDGETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the largest mix, with ``mix_budget``, the least budget whose mix has the row.
 
     budgets: parts per thousand of all tokens. A source gets its weight's share
     of a budget (equal shares without ``weights``; 0 for a source that isn't in
-    them), at most all it has; what it lacks isn't given to others. Mixes are
+    them; weights may be fractions), at most all it has; what it lacks isn't given to others. Mixes are
     nested: a row of a smaller one is in every larger one. Tokens are words
     between white space.
 
     Null or empty text has 0 tokens and stays if its hash is below the
-    threshold. A null source is a source of its own. A null id is hashed by its
-    text. Rows of equal hash (repeated rows) stay or go together. An existing
+    threshold; texts of any length are counted whole. A null source is a source of its own. A null id is hashed by its
+    text; ids may be of any type. Rows of equal hash (repeated rows) stay or go together. An existing
     column mix_budget is replaced; other columns are left as they are. An empty
     table gives an empty one.
     """
-    src, h = F.col(source_col).cast("string"), row_hash(F.col(id_col), F.col(text_col))
-    sized = written(docs.select(src.alias("src"), h.alias("h"), word_count(F.col(text_col)).alias("tokens")), "mix-sizes")
+    h = row_hash(quoted(id_col), quoted(text_col))
+    sized = written(docs.select(quoted(source_col).cast("string").alias("src"), h.alias("h"), word_count(quoted(text_col)).alias("tokens")), "mix-sizes")
     cut = thresholds(sized, weights, budgets)
-    wide = cut.groupBy(F.col("src").alias("__mix_src")).agg(*[F.max(F.when(F.col("tier") == t, F.col("below"))).alias(f"__mix_{t}") for t in budgets])
     names = [c for c in docs.columns if c.lower() != "mix_budget"]
-    joined = docs.select(*names).withColumn("__mix_h", h).join(small(wide), src.eqNullSafe(F.col("__mix_src")))
-    tier = reduce(lambda c, t: F.when(F.col("__mix_h") < F.col(f"__mix_{t}"), F.lit(t)).otherwise(c), sorted(budgets, reverse=True), F.lit(None).cast("int"))
-    return joined.withColumn("mix_budget", tier).filter("mix_budget is not null").select(*names, "mix_budget")
+    h_name, src_name, *tiers = spare(docs, "mix_budget_h", "mix_budget_src", *(f"mix_budget_{t}" for t in budgets))
+    wide = cut.groupBy(F.col("src").alias(src_name)).agg(*[F.max(F.when(F.col("tier") == t, F.col("below"))).alias(c) for t, c in zip(budgets, tiers)])
+    rows = docs.select(*map(quoted, names), h.alias(h_name))
+    joined = rows.join(small(wide), quoted(source_col).cast("string").eqNullSafe(F.col(src_name)))
+    least = reduce(lambda c, t: F.when(F.col(h_name) < F.col(t[1]), F.lit(t[0])).otherwise(c), sorted(zip(budgets, tiers), reverse=True), F.lit(None).cast("int"))
+    return joined.filter(least.isNotNull()).select(*map(quoted, names), least.alias("mix_budget"))
 
 
 def query(spark, sf_dir):
-    from .common import table
-
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", word_count(F.col("text")).alias("tokens"), "mix_budget")
 

@@ -2,8 +2,8 @@
 
 The filter is a table of 512-bit blocks (block, w0..w7), made by OR-ing the
 masks of the listed URLs. A URL sets one bit in each of the 8 words of one
-block, so a test reads one block. The table's number of blocks has a bound; a
-longer list makes the filter let more pass, and the exact join stays right.
+block, so a test reads one block. A canonical URL has no "#", which marks keys
+of pages that didn't pass.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table
+from .common import quoted, small, table, written
 
-#: Bits of the filter for each listed URL, and the most blocks (16 MB) that are broadcast.
-BITS_PER_URL, MAX_BLOCKS = 14, 1 << 18
+#: Bits of the filter for each listed URL, and the most blocks: what the hash that names them can tell apart.
+BITS_PER_URL, MOST_BLOCKS = 14, 1 << 40
 TRACKING = r"^(utm_[a-z_]*|ref|gclid|fbclid|msclkid|sessionid)(=|$)"
 #: Hosts whose pages the query lists.
 LISTED_HOSTS = r"(^|\.)(ads-track|casino-win|adult-x)\."
@@ -58,21 +58,25 @@ def url_filter(pages: DataFrame, listed_urls: DataFrame, id_col: str = "page_id"
 
     blocked: the canonical form of the URL is that of a listed one. Null, empty
     or blank URLs have a null canonical form and are never blocked; such entries
-    of the list are ignored, as are repeated ones. Repeated rows are all
-    returned. Other columns of either table aren't read. An empty list blocks
-    nothing.
+    of the list are ignored, as are repeated ones. URLs of any length are read
+    whole. Repeated rows are all returned. Other columns of either table aren't
+    read, and ids keep their type. An empty list blocks nothing; no pages give no rows.
+
+    The filter grows with the list. As long as its blocks and the list can be
+    broadcast, no page moves; beyond that, pages are shuffled by block, and only
+    those that pass the filter by URL.
     """
-    listed = listed_urls.select(canonical_url(F.col(list_col)).alias("canonical")).filter("canonical is not null").distinct()
+    listed = written(listed_urls.select(canonical_url(quoted(list_col)).alias("canonical")).filter("canonical is not null").distinct(), "listed-urls")
     n = listed.count()
-    blocks = min(MAX_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n * BITS_PER_URL / 512)))))
-    bloom = F.broadcast(bloom_table(listed, blocks).withColumnRenamed("block", "b_block"))  # at most MAX_BLOCKS rows
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"), canonical_url(F.col(url_col)).alias("canonical_url"))
+    blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n * BITS_PER_URL / 512)))))
+    bloom = small(written(bloom_table(listed, blocks).withColumnRenamed("block", "b_block"), "url-blocks"))
+    rows = pages.select(quoted(id_col).alias("own_id"), quoted(url_col).alias("url"), canonical_url(quoted(url_col)).alias("canonical_url"))
     marked = rows.select("*", *_marks(F.col("canonical_url"), blocks)).join(bloom, F.col("block") == F.col("b_block"), "left")
     hit = " and ".join(f"(w{i} & {_mask(i)}) <> 0" for i in range(8))
-    tested = marked.withColumn("maybe", F.expr(f"coalesce(canonical_url is not null and {hit}, false)"))
-    out = [F.col(id_col), F.col("url"), F.col("canonical_url")]
-    passed = tested.filter("maybe").join(small(listed), F.col("canonical_url") == F.col("canonical"), "left")
-    return passed.select(*out, F.col("canonical").isNotNull().alias("blocked")).unionByName(tested.filter("not maybe").select(*out, F.lit(False).alias("blocked")))
+    # pages that don't pass get a key of their own that no list has, so they stay spread out
+    key = F.expr(f"if(coalesce(canonical_url is not null and {hit}, false), canonical_url, concat('#', xxhash64(bits, own_id)))")
+    joined = marked.withColumn("asked", key).join(small(listed), F.col("asked") == F.col("canonical"), "left")
+    return joined.select(F.col("own_id").alias(id_col), "url", "canonical_url", F.col("canonical").isNotNull().alias("blocked"))
 
 
 def query(spark, sf_dir):

@@ -13,18 +13,19 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote_plus
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_batches, written
+from .common import quoted, shared_dir, table, written
 
 #: Gap that is read over rather than skipped, most bytes of one read, and of a file before another is begun.
 GAP, READ, FILE = 64 << 10, 8 << 20, 256 << 20
-#: Bytes of a file whose selected records are one unit of work.
-SPAN = 64 << 20
+#: Most bytes of a file whose selected records are one unit of work.
+SPAN = 16 << 20
 LEVEL = 4
 INDEX = "file string, offset bigint, length bigint, record_id string, type string, url string, digest string, payload bigint"
 
@@ -33,10 +34,10 @@ def digest(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One record; CR and LF in a URL are percent-encoded; null html is a metadata record without payload."""
+def record(page_id: int | str | None, url: str | None, html: str | None) -> bytes:
+    """One record; the id is URL-encoded and CR and LF in a URL are percent-encoded; null html is a metadata record without payload."""
     body = (html or "").encode("utf-8", "surrogatepass")
-    head = ["WARC/1.0", f"WARC-Type: {'metadata' if html is None else 'resource'}", f"WARC-Record-ID: <urn:{'uuid:' + str(uuid.uuid4()) if page_id is None else f'page:{page_id}'}>", "WARC-Date: 2020-01-01T00:00:00Z"]
+    head = ["WARC/1.0", f"WARC-Type: {'metadata' if html is None else 'resource'}", f"WARC-Record-ID: <urn:{'uuid:' + str(uuid.uuid4()) if page_id is None else 'page:' + quote_plus(str(page_id))}>", "WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Payload-Digest: {digest(body)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
@@ -71,7 +72,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                     out, size = system.open_output_stream(name, compression=None), 0
                     done.append(name)
                 z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = z.compress(record(None if i is None or pd.isna(i) else int(i), url, html)) + z.flush()
+                data = z.compress(record(i, url, html)) + z.flush()
                 out.write(data)
                 size += len(data)
                 if size >= FILE:
@@ -81,7 +82,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out.close()
         yield pd.DataFrame({"file": done}, dtype="object")
 
-    rows = text_batches(pages).select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(quoted(id_col).cast("string").alias("id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"))
     return written(rows.mapInPandas(run, "file string").withColumn("file", F.concat(F.lit(_scheme(folder)), "file")), "warc-files")
 
 
@@ -151,10 +152,15 @@ def index_warc(files: DataFrame) -> DataFrame:
 def read_records(selected: DataFrame) -> DataFrame:
     """(file, offset, record_id, url, payload) of the index rows in ``selected``.
 
-    Rows are sorted by place within spans of SPAN bytes of a file; ranges at
-    most GAP apart are one read of at most READ bytes (a longer record is read
-    alone). Rows that repeat a place give repeated records.
+    Rows are sorted by place within spans of at most SPAN bytes of a file, whose
+    number follows from the bytes to be read, not from the size of the index;
+    ranges at most GAP apart are one read of at most READ bytes (a longer record
+    is read alone). Rows that repeat a place give repeated records.
     """
+    spark = selected.sparkSession
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    parts = min(100_000, max(spark.sparkContext.defaultParallelism, -(-total // SPAN)))
+    span = max(1 << 20, min(SPAN, total // parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_name, handle = None, None
@@ -183,7 +189,7 @@ def read_records(selected: DataFrame) -> DataFrame:
         if group:
             yield fetch(group)
 
-    places = selected.select("file", "offset", "length").repartition("file", F.expr(f"offset div {SPAN}")).sortWithinPartitions("file", "offset")
+    places = selected.select("file", "offset", "length").repartition(parts, "file", F.expr(f"offset div {span}")).sortWithinPartitions("file", "offset")
     return places.mapInPandas(run, "file string, offset bigint, record_id string, url string, payload string")
 
 
@@ -192,16 +198,18 @@ def distinct_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     The pages are written to the shared folder, indexed, chosen by digest and
     read. Null html isn't chosen; empty html is a content like any other; null
-    URLs stay null. Other columns aren't written.
+    URLs stay null. Pages are whole, however long. Ids keep their type; no pages
+    give no rows. Other columns aren't written.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     index = index_warc(write_warc(pages, folder, id_col, url_col, html_col))
-    page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
-    ids = index.filter("type = 'resource'").withColumn("page_id", F.when(page != "", page.cast("bigint")))
-    best = ids.groupBy("digest").agg(F.min(F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("p"), F.coalesce("url", F.lit("")).alias("u"), "file", "offset", "length")).alias("b")).select("b.*")
-    read = read_records(best)
-    page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
-    return read.select(F.when(page != "", page.cast("bigint")).alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("bigint").alias("n_bytes"))
+    kind = pages.select(quoted(id_col)).schema[0].dataType
+    of = F.regexp_extract("record_id", r"^<urn:page:(.*)>$", 1)
+    page = F.when(F.col("record_id").startswith("<urn:page:"), F.url_decode(of)).cast(kind)
+    ids = index.filter("type = 'resource'").withColumn("p", page)
+    order = F.struct(F.col("p").isNull().alias("none"), "p", F.coalesce("url", F.lit("")).alias("u"), "file", "offset", "length")
+    best = written(ids.groupBy("digest").agg(F.min(order).alias("b")).select("b.file", "b.offset", "b.length"), "warc-selected")
+    return read_records(best).select(page.alias("page_id"), "url", F.col("payload").alias("html"), F.octet_length("payload").cast("bigint").alias("n_bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

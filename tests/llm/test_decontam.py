@@ -1,7 +1,9 @@
+import random
+
 import pyarrow.parquet as pq
 import pytest
 
-from quillseek.llm import decontam
+from quillseek.llm import common, decontam
 
 ITEMS = [
     (1, "Alice has 12 apples and gives Bob 5 kg of pears. How many apples does Alice have after 12 days if Bob returns 5 kg?"), (2, "plain words that simply go on for a little while without any slot at all"),
@@ -17,15 +19,17 @@ def found(spark, docs, items=ITEMS, **how):
     return sorted(((r.doc_id, r.item_id, r.kind) for r in decontam.find_leaks(d, b, **how).collect()), key=str)
 
 
-@pytest.mark.parametrize("sent", [decontam.MAX_SENT, 0])
-def test_cases(spark, sent):
+@pytest.mark.parametrize("bits", [common.MOST_BITS, 1 << 10])
+def test_cases(spark, bits, monkeypatch):
+    """With a bitmap that lets nearly all pass, too."""
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     docs = [
         (10, "before " * 30 + ITEMS[0][1] + " after" * 30), (11, REPARAM), (12, BROKEN), (13, "PLAIN!! WORDS!! THAT!! SIMPLY!! GO!! ON!! FOR!! A!! LITTLE!! WHILE!! WITHOUT!! ANY!! SLOT!! AT!! ALL!!"),
         (14, "Say: Plain Words that simply go on for a little while without any slot at all"), (15, "a short item here now and more"), (16, None), (17, ""), (18, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"),
         (19, "something else altogether, with Alice and 12 apples"), (None, ITEMS[1][1]), (20, "z " * 200_000 + ITEMS[1][1]), (20, "z " * 200_000 + ITEMS[1][1]), (21, "plain words that simply go on"),
     ]
     want = [(10, 1, "copy"), (11, 1, "reparameterised"), (13, 2, "copy"), (14, 2, "copy"), (15, 3, "copy"), (20, 2, "copy"), (None, 2, "copy")]
-    assert found(spark, docs, max_sent=sent) == sorted(want, key=str)
+    assert found(spark, docs) == sorted(want, key=str)
 
 
 def test_other_capitals(spark):
@@ -55,11 +59,38 @@ def test_passages_of_the_tables(spark):
     assert want and want <= got and len(got - want) <= 0.05 * len(want)
 
 
-@pytest.mark.parametrize("sent", [decontam.MAX_SENT, 0])
-def test_items_of_almost_only_placeholders(spark, sent):
+def test_items_of_almost_only_placeholders(spark):
     items = [(1, "What is 17 + 25?"), (2, "Convert 5 km to 5000 m."), (3, "Sort 9 8 7 6 5 4 3 2 1 0"), (4, "1 2 3 4 5 6 7 8 9 10"), (5, ITEMS[1][1])]
     docs = [
         (10, "Tell me. What is 17 + 25? It is 42."), (11, "what is 18 + 25? what is 17 or 25"), (12, "so CONVERT 5 KM TO 5000 M. Then"), (13, "convert 6 km to 6000 m"),
         (14, "please sort 9 8 7 6 5 4 3 2 1 0"), (15, "9 8 7 6 5 4 3 2 1 0"), (16, "1 2 3 4 5 6 7 8 9 10"), (17, ITEMS[1][1]),
     ]
-    assert found(spark, docs, items, max_sent=sent) == [(10, 1, "copy"), (12, 2, "copy"), (14, 3, "copy"), (17, 5, "copy")]
+    assert found(spark, docs, items) == [(10, 1, "copy"), (12, 2, "copy"), (14, 3, "copy"), (17, 5, "copy")]
+
+
+def test_ids_keep_their_values(spark):
+    """Negative and null item ids are told apart."""
+    items = [(-5, ITEMS[0][1]), (-1, ITEMS[1][1]), (None, ITEMS[2][1])]
+    docs = [(-7, ITEMS[0][1]), (-(2**62), ITEMS[1][1]), (3, "a short item here now and more")]
+    assert found(spark, docs, items) == sorted([(-7, -5, "copy"), (-(2**62), -1, "copy"), (3, None, "copy")], key=str)
+
+
+def test_reparameterised_against_brute_force(spark):
+    """Items with their slots filled anew are found if the filling is one value for each value, and only then, by filling in every item."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("bal", "cor", "dim", "fen", "gol") for b in ("an", "ek", "ir", "os", "um")]
+    people, items, docs, want = [x.title() for x in ("ann", "bert", "cleo", "dirk", "eve", "fred")], [], [], []
+    for i in range(25):
+        shape = [rng.choice([*words * 4, "#0", "#1", "@0", "@1"]) for _ in range(24)]
+        shape[0] = words[i]
+        fill = lambda nums, names, shape=shape: " ".join(nums[int(w[1])] if w[0] == "#" else names[int(w[1])] if w[0] == "@" else w for w in shape)
+        apart = [w for k, w in enumerate(shape) if w[0] == "@" and k and shape[k - 1][0] == "@"]
+        if apart:
+            continue  # names in a row are one name
+        items.append((i, fill(["17", "25"], ["Ann", "Bert"])))
+        nums, names = rng.sample(["3", "44", "506", "8"], 2), rng.sample(people[2:], 2)
+        docs.append((100 + i, "some words before it and " + fill(nums, names) + " and others after"))
+        want.append((100 + i, i, "reparameterised" if any(w[0] in "#@" for w in shape) else "copy"))
+    assert len(items) > 10
+    got = found(spark, docs, items)
+    assert got == sorted(want, key=str)

@@ -3,6 +3,7 @@ import random
 import pyarrow.parquet as pq
 import pytest
 
+from quillseek.llm import common
 from quillseek.llm import linededup as L
 
 KIND = "doc_id bigint, text string"
@@ -16,7 +17,8 @@ def brute(rows):
     from quillseek.llm.common import row_key
 
     spark = SparkSession.getActiveSession()
-    keys = spark.createDataFrame(rows, KIND).select("doc_id", "text", *[c.alias(n) for c, n in zip(row_key(F.col("doc_id"), F.col("text")), ("k1", "k2"))]).distinct().collect()
+    df = spark.createDataFrame(rows, KIND)
+    keys = df.select("doc_id", "text", *[c.alias(n) for c, n in zip(row_key(df, "doc_id", "text"), ("k1", "k2"))]).distinct().collect()
     docs = sorted(((r.k1, r.k2, r.doc_id, r.text) for r in keys if r.text is not None), key=lambda r: r[:2])
     seen, out = {}, {}
     for _, _, i, text in docs:
@@ -102,9 +104,9 @@ def test_other_columns_and_empty(spark):
     assert L.remove_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [L.MAX_MARKED, 0])
-def test_table(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "MAX_MARKED", limit)
+@pytest.mark.parametrize("bits", [common.MOST_BITS, 1 << 10])
+def test_table(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
     assert sum(r.removed_chunks for r in check(spark, rows)) > 10
 

@@ -51,3 +51,30 @@ def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], KIND)).count() == 0
     nothing = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0)], KIND)
     assert mixing.mix(nothing).count() == 2  # no token passes no budget
+
+
+def test_whole_weights():
+    assert dict(mixing.whole_weights({"a": 0.3, "b": 0.7, None: 2})) == {"a": 3, "b": 7, None: 20}
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": -1})
+
+
+def test_fractional_weights(spark):
+    docs = spark.createDataFrame([(i, "a b c", None, "st"[i % 2], None) for i in range(80)], KIND)
+    assert got(mixing.mix(docs, {"s": 0.25, "t": 0.75}, (400,))) == got(mixing.mix(docs, {"s": 1, "t": 3}, (400,)))
+
+
+def test_tokens_of_a_large_corpus(spark):
+    """10**14 tokens in three sources with weights up to a million: budgets are exact."""
+    rows = [("abc"[i % 3], (i * 2654435761) % (1 << 48), 10**14 // 3000) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "src string, h bigint, tokens bigint")
+    below = {(r.src, r.tier): r.below for r in mixing.thresholds(sized, {"a": 1_000_000, "b": 500_000, "c": 250_000}, (250, 1000)).collect()}
+    total = sum(n for _, _, n in rows)
+    for (src, tier), limit in below.items():
+        budget = total * tier * {"a": 4, "b": 2, "c": 1}[src] // (1000 * 7)
+        cum = 0
+        fits = 0
+        for h, n in sorted((h, n) for s, h, n in rows if s == src):
+            cum += n
+            fits += cum <= budget
+        assert sum(h < limit for s, h, _ in rows if s == src) == fits

@@ -137,3 +137,21 @@ def test_variants_and_buckets(monkeypatch, top, most):
 @pytest.mark.parametrize("n,top", [(0, 0), (1000, 0), (236_000, 5), (14_000_000, 11), (46_000_000_000, 23)])
 def test_top_bits(n, top):
     assert simhash._top_bits(n) == top
+
+
+def test_block_pairs():
+    ids = np.arange(23)
+    parts = list(simhash.block_pairs(ids, 5))
+    assert max(map(len, parts)) <= 10 and {(a, b) for p in parts for a in p.tolist() for b in p.tolist()} == {(a, b) for a in range(23) for b in range(23)}
+    assert [p.tolist() for p in simhash.block_pairs(ids, 23)] == [ids.tolist()]
+
+
+@pytest.mark.parametrize("distance,least", [(47, 1.0), (64, 0.97), (74, 0.89), (85, 0.7)])
+def test_recall_by_distance(distance, least):
+    """How often two fingerprints that far apart have a band within RADIUS; all of them up to BANDS * (RADIUS + 1) - 1."""
+    rng = np.random.default_rng(distance)
+    flips = np.zeros((4000, simhash.BITS), bool)
+    for row in flips:
+        row[rng.choice(simhash.BITS, distance, replace=False)] = True
+    met = (flips.reshape(len(flips), simhash.BANDS, 32).sum(2) <= simhash.RADIUS).any(1)
+    assert met.mean() >= least
