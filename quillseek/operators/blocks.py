@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.codec import varbyte_encode, varbyte_length
-from .numbering import running_sum, term_group
+from ..functions.codec import VARBYTE, Codec, varbyte_length
+from ..shared import written
+from .numbering import running_sum
 
 CHUNK = 128
-#: Ids whose postings of one term are numbered by one task.
-SPAN = 1 << 20
+#: Ids whose postings, and chunks whose offsets, of one term are numbered by one task.
+SPAN, CHUNK_SPAN = 1 << 20, 1 << 16
 #: A term is in the full lexicon if its df is over FULL_DF, or if over SINCE postings came since the last full one.
 FULL_DF, SINCE = 50, 500
 
@@ -41,13 +45,13 @@ def chunk_sizes(posts: DataFrame) -> DataFrame:
     return chunked(posts).groupBy("term", "chunk_id").agg(F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"), F.sum(varbyte_length(F.col("gap")) + varbyte_length(F.col("freq"))).alias("n_bytes"))
 
 
-def blocks(posts: DataFrame) -> DataFrame:
-    """Chunks with their content: gaps, freqs and payload, the bytes of all gaps and then of all freqs."""
+def blocks(posts: DataFrame, codec: Codec = VARBYTE) -> DataFrame:
+    """Chunks with their content: gaps, freqs and payload, the bytes that ``codec`` makes of all gaps and then of all freqs."""
     rows = chunked(posts).groupBy("term", "chunk_id").agg(
         F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "gap", "freq"))).alias("rows"),
     )
     rows = rows.select("term", "chunk_id", "last_doc_id", "n", F.col("rows.gap").alias("gaps"), F.col("rows.freq").alias("freqs"))
-    payload = varbyte_encode(F.concat("gaps", "freqs"))
+    payload = codec.encode(F.concat("gaps", "freqs"))
     return rows.withColumn("payload", payload).select("term", "chunk_id", "last_doc_id", "n", F.octet_length("payload").cast("bigint").alias("n_bytes"), "gaps", "freqs", "payload")
 
 
@@ -58,23 +62,35 @@ def unblock(chunks: DataFrame) -> DataFrame:
     return one.select("term", total.alias("doc_id"), F.col("x.freqs").alias("freq"))
 
 
+def unpack(chunks: DataFrame, codec: Codec = VARBYTE) -> DataFrame:
+    """Postings (term, doc_id, freq) of the payloads of blocks(), whose gaps and freqs aren't read."""
+    numbers = chunks.select("term", "chunk_id", codec.decode(F.col("payload")).alias("x")).withColumn("n", F.expr("cast(size(x) div 2 as int)"))
+    return unblock(numbers.select("term", "chunk_id", F.expr("slice(x, 1, n)").alias("gaps"), F.expr("slice(x, n + 1, n)").alias("freqs")))
+
+
 def full_terms(lex: DataFrame) -> DataFrame:
     """(term, df, is_full) by FULL_DF and SINCE in the order of the terms; the first term is full.
 
     A term of df over FULL_DF starts a segment; the count since the last full
-    term depends on a segment's terms only, so segments are folded apart.
+    term depends on a segment's terms only, so segments are folded apart, each
+    as a sorted stream of which only the count is kept.
     """
     big = F.when(F.col("df") > FULL_DF, 1).otherwise(0)
-    rows = running_sum(lex.select("term", "df"), term_group(F.col("term")), [F.col("term")], big, "before", keep=True).withColumn("segment", F.col("before") + big)
-    segments = rows.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("term", "df"))).alias("terms"))
-    start = F.struct(F.when(F.col("segment") == 0, F.lit(SINCE + 1)).otherwise(F.lit(0)).cast("bigint").alias("since"), F.array().cast("array<boolean>").alias("flags"))
+    rows = running_sum(lex.select("term", "df"), [F.col("term")], big, "before").select((F.col("before") + big).alias("segment"), "term", "df")
 
-    def step(state, x):
-        full = (x["df"] > FULL_DF) | (state["since"] > SINCE)
-        return F.struct(F.when(full, F.lit(0)).otherwise(state["since"] + x["df"]).cast("bigint").alias("since"), F.array_append(state["flags"], full).alias("flags"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = since = None
+        for b in batches:
+            flags = []
+            for segment, df in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if segment != now:
+                    now, since = segment, 0 if segment else SINCE + 1
+                full = df > FULL_DF or since > SINCE
+                since = 0 if full else since + df
+                flags.append(full)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(flags, pa.bool_())], ["term", "df", "is_full"])
 
-    flags = F.aggregate("terms", start, step, lambda s: s["flags"])
-    return segments.select(F.explode(F.arrays_zip(F.col("terms").alias("t"), flags.alias("f"))).alias("x")).select("x.t.term", "x.t.df", F.col("x.f").alias("is_full"))
+    return rows.repartition("segment").sortWithinPartitions("segment", "term").mapInArrow(fold, "term string, df bigint, is_full boolean")
 
 
 def entry_sizes(posts: DataFrame, sparse: bool = False) -> DataFrame:
@@ -85,7 +101,7 @@ def entry_sizes(posts: DataFrame, sparse: bool = False) -> DataFrame:
     sizes = sizes.withColumn("bytes", F.col("body") + varbyte_length(F.col("n_chunks")))
     if not sparse:
         return sizes.select("term", "df", "n_chunks", "bytes", F.lit(True).alias("is_full"))
-    sizes = sizes.persist()  # a row a term, read for the rule and for the sizes
+    sizes = written(sizes, "entry-sizes")  # a row a term, read for the rule and for the sizes
     length = F.octet_length("term").cast("bigint")
     head = F.when(F.col("is_full"), F.lit(0)).otherwise(1 + varbyte_length(F.col("df")) + varbyte_length(length) + length)
     return sizes.join(full_terms(sizes.select("term", "df")).select("term", "is_full"), "term").select("term", "df", "n_chunks", (F.col("bytes") + head).alias("bytes"), "is_full")
@@ -93,11 +109,14 @@ def entry_sizes(posts: DataFrame, sparse: bool = False) -> DataFrame:
 
 def positions(posts: DataFrame, sparse: bool = False) -> DataFrame:
     """(term, df, position, next_position, is_full): where each entry starts and where the next one does; the last one's next is the end."""
-    out = running_sum(entry_sizes(posts, sparse), term_group(F.col("term")), [F.col("term")], F.col("bytes"), "position", keep=True)
+    out = running_sum(entry_sizes(posts, sparse), [F.col("term")], F.col("bytes"), "position")
     return out.select("term", "df", "position", (F.col("position") + F.col("bytes")).alias("next_position"), "is_full")
 
 
 def chunk_offsets(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, relative_position): bytes of the term's chunks before."""
-    before = W.partitionBy("term").orderBy("chunk_id").rowsBetween(W.unboundedPreceding, -1)
-    return chunks.select("term", "chunk_id", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("relative_position"))
+    """(term, chunk_id, relative_position): bytes of the term's chunks before. As in chunked(), only totals of CHUNK_SPAN chunks pass through a window over a whole term."""
+    rows = chunks.select("term", "chunk_id", "n_bytes", F.expr(f"chunk_id div {CHUNK_SPAN}").alias("__r")).filter(F.col("term").isNotNull() & F.col("__r").isNotNull()).repartition("term", "__r")
+    before = lambda w: F.coalesce(F.sum("n_bytes").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = rows.groupBy("term", "__r").agg(F.sum("n_bytes").alias("n_bytes")).select("term", "__r", before(W.partitionBy("term").orderBy("__r")).alias("__base"))
+    placed = rows.withColumn("__w", before(W.partitionBy("term", "__r").orderBy("chunk_id"))).join(spans, ["term", "__r"])
+    return placed.select("term", "chunk_id", (F.col("__base") + F.col("__w")).alias("relative_position"))

@@ -5,6 +5,8 @@ A ``docs`` frame has doc_id, url, body (lower case) and tokens; prepare() makes
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,19 @@ from ..functions.text import Tokenizer, html_text, page_body, tokenize
 from .numbering import number
 
 
-def prepare(rows: DataFrame, id_col: str, text_col: str, url_col: str | None = None, html: bool = False, tokenizer: Tokenizer = tokenize) -> DataFrame:
+def prepare(rows: DataFrame, id_col: str, text_col: str, url_col: str | None = None, html: bool = False, tokenizer: Tokenizer = tokenize, extract: Callable[[Column], Column] = html_text) -> DataFrame:
     """(doc_id, url, body, tokens, size) of documents; rows without a body are left out, as are pages without a URL.
 
     The body is the text in lower case, after the URL if there is one; the
-    tokens are those of the body, of its visible text with ``html``.
+    tokens are those of the body, of its visible text with ``html``, which
+    ``extract`` makes (text.html_text_full parses in Python).
     """
     url = F.trim(F.col(url_col)) if url_col else F.lit("")
     body = page_body(F.col(url_col), F.col(text_col)) if url_col else F.lower(F.col(text_col))
     docs = rows.select(F.col(id_col).cast("bigint").alias("doc_id"), url.alias("url"), body.alias("body")).filter("body is not null")
     if url_col:
         docs = docs.filter("url <> ''")
-    return docs.withColumn("tokens", tokenizer(html_text(F.col("body")) if html else F.col("body"))).withColumn("size", F.size("tokens").cast("bigint"))
+    return docs.withColumn("tokens", tokenizer(extract(F.col("body")) if html else F.col("body"))).withColumn("size", F.size("tokens").cast("bigint"))
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
@@ -31,13 +34,20 @@ def token_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode("tokens").alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def postings(docs: DataFrame, with_size: bool = False) -> DataFrame:
+def postings(docs: DataFrame, with_size: bool = False, unique: bool = False) -> DataFrame:
     """(term, doc_id, freq) and the document's size; a row for each term of a document.
 
-    The count is partial on each task before the shuffle, so a document's
-    repeated tokens cross it once. A document given in parts is summed up.
+    With ``unique``, no two rows of ``docs`` have one id (a primary key), so the
+    tokens are counted within the row and nothing is shuffled. Otherwise a
+    document may be given in parts, which are summed up; the count is partial on
+    each task before the shuffle.
     """
     keep = ["size"] if with_size else []
+    if unique:
+        runs = docs.select("doc_id", *keep, F.array_sort("tokens").alias("s"))
+        runs = runs.withColumn("at", F.expr("filter(transform(s, (x, i) -> if(i = 0 or s[greatest(i - 1, 0)] <> x, i, null)), i -> i is not null)"))
+        counts = F.expr("inline(transform(at, (p, k) -> named_struct('term', s[p], 'freq', cast(coalesce(get(at, k + 1), size(s)) - p as bigint))))")
+        return runs.select("doc_id", *keep, counts).select("term", "doc_id", "freq", *keep)
     return docs.select("doc_id", *keep, F.explode("tokens").alias("term")).groupBy("term", "doc_id", *keep).agg(F.count("*").alias("freq")).select("term", "doc_id", "freq", *keep)
 
 
@@ -68,7 +78,7 @@ def stats(docs: DataFrame, first: int = 10_000) -> DataFrame:
 def term_ids(docs: DataFrame) -> DataFrame:
     """(term, term_id): numbers from 1 in the order in which terms are first seen."""
     seen = token_rows(docs).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    return number(seen, F.floor(F.col("at.doc_id") / 1000), [F.col("at")], "term_id", keep=True).select("term", "term_id")
+    return number(seen, [F.col("at")], "term_id").select("term", "term_id")
 
 
 def with_term_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -78,4 +88,4 @@ def with_term_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def number_documents(rows: DataFrame, file: Column, order: Column) -> DataFrame:
     """``rows`` with doc_id, from 1 in the order of file and place; numbers are dense."""
-    return number(rows, file, [order], "doc_id")
+    return number(rows, [file, order], "doc_id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score import Scorer, bm25_linear
 from ..functions.text import DELIMITERS, MAX_BYTES, term_frequencies
+from ..shared import small
 
 AND, OR = "c", "d"
 #: What next_geq() returns if there is no such document.
@@ -70,7 +71,7 @@ def narrow(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(doc_id, size, found) of all documents: their sizes and how often they have each of the terms.
 
     It is a few numbers a document. A search that isn't on a stored index reads
-    it for postings, df and the collection's figures; persist it to read and
+    it for postings, df and the collection's figures; write it to read and
     tokenise the documents once.
     """
     return docs.select("doc_id", "size", term_frequencies(F.col("tokens"), sorted(set(terms))).alias("found"))
@@ -83,8 +84,8 @@ def matches(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def scored(posts: DataFrame, lex: DataFrame, stats: DataFrame, query: DataFrame, scorer: Scorer = bm25_linear) -> DataFrame:
-    """The query's postings with term_score. ``query`` has term, qtf and may have query_id; lex, stats and query are small."""
-    words = F.broadcast(query.join(lex, "term"))
+    """The query's postings with term_score. ``query`` has term, qtf and may have query_id; stats is one row. Terms and figures of many queries are broadcast if they are small enough."""
+    words = small(query.join(lex, "term"))
     rows = posts.join(words, "term").crossJoin(F.broadcast(stats))
     score = F.col("qtf") * scorer(F.col("freq"), F.col("df"), F.col("size"), F.col("n"), F.col("davg"))
     return rows.withColumn("term_score", F.coalesce(score, F.lit(0.0)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.score import B, K1
@@ -19,9 +18,15 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "size", F.posexplode(lines(F.col("body"))).alias("idx", "line")).withColumn("idx", F.col("idx").cast("bigint"))
 
 
+def _line_arrays(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, l) of the documents that have lines; all that follows stays within a document's row."""
+    return docs.select("doc_id", "size", lines(F.col("body")).alias("l")).filter(F.size("l") > 0)
+
+
 def line_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, mean_bytes): the whole part of the mean length of a line in bytes."""
-    return line_rows(docs).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.floor(F.sum(F.octet_length("line")) / F.count("*")).cast("bigint").alias("mean_bytes"))
+    total = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x))
+    return _line_arrays(docs).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.floor(total / F.size("l")).cast("bigint").alias("mean_bytes"))
 
 
 def _line_score(freq: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
@@ -29,6 +34,27 @@ def _line_score(freq: Column, df: Column, length: Column, n: Column, mean: Colum
     return F.coalesce(F.when(freq > 0, idf * (K1 + 1) * freq / (K1 * ((1 - B) + B * length / mean))), F.lit(0.0))
 
 
+def _scores(docs: DataFrame, terms: Sequence[str], exact: bool) -> DataFrame:
+    """(doc_id, l, scores): the score of every line, in order; see scored_lines()."""
+    words = sorted(set(terms))
+    equal = lambda w: lambda x: x == F.lit(w)
+    split = _line_arrays(docs).withColumn("t", F.transform("l", lambda x: F.struct(F.octet_length(x).alias("d"), tokenize(x).alias("t"))))
+    counts = F.transform("t", lambda x: F.struct(x["d"].alias("d"), *[F.size(F.filter(x["t"], equal(w))).alias(f"f{i}") for i, w in enumerate(words)]))
+    rows = split.select("doc_id", "size", "l", counts.alias("c"))
+    having = lambda i: F.size(F.filter("c", lambda y: y[f"f{i}"] > 0))
+    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, y: a + y["d"])
+    rows = rows.select("doc_id", "size", "l", "c", F.floor(total / F.size("c")).alias("mean"), *[having(i).alias(f"df{i}") for i in range(len(words))])
+
+    def score(y: Column) -> Column:
+        out = F.lit(0.0)
+        for i in range(len(words)):
+            out = out + _line_score(y[f"f{i}"], F.col(f"df{i}"), y["d"], F.col("size"), F.col("mean"))
+        out = F.round(out, 9)
+        return out if exact else F.greatest(F.floor(out), F.lit(0)).cast("bigint")
+
+    return rows.select("doc_id", "l", F.transform("c", score).alias("scores"))
+
+
 def scored_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) -> DataFrame:
     """(doc_id, idx, line, n_lines, score) of every line.
 
@@ -37,36 +63,37 @@ def scored_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) ->
     and to 0 at least, unless ``exact``. A term in more lines than the size
     allows counts nothing.
     """
-    words = sorted(set(terms))
-    doc = W.partitionBy("doc_id")
-    rows = line_rows(docs).withColumns({"__t": tokenize(F.col("line")), "__d": F.octet_length("line")})
-    counts = {f"__f{i}": F.size(F.filter("__t", (lambda t: lambda x: x == F.lit(t))(t))) for i, t in enumerate(words)}
-    rows = rows.withColumns(counts).withColumns({"n_lines": F.count("*").over(doc), "__mean": F.floor(F.sum("__d").over(doc) / F.count("*").over(doc))} | {f"__df{i}": F.sum(F.when(F.col(f"__f{i}") > 0, 1).otherwise(0)).over(doc) for i in range(len(words))})
-    total = F.lit(0.0)
-    for i in range(len(words)):
-        total = total + _line_score(F.col(f"__f{i}"), F.col(f"__df{i}"), F.col("__d"), F.col("size"), F.col("__mean"))
-    score = F.round(total, 9)
-    return rows.select("doc_id", "idx", "line", "n_lines", (score if exact else F.greatest(F.floor(score), F.lit(0)).cast("bigint")).alias("score"))
-
-
-def best_lines(scored: DataFrame) -> DataFrame:
+    rows = _scores(docs, terms, exact).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.posexplode(F.arrays_zip("l", "scores")).alias("idx", "x"))
+    return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.col("x.l").alias("line"), "n_lines", F.col("x.scores").alias("score"))
+
+
+def _best(docs: DataFrame, terms: Sequence[str], exact: bool) -> DataFrame:
+    """(doc_id, l, top): top has the score and idx of the best line, the last of equals."""
+    top = F.array_max(F.transform("scores", lambda s, i: F.struct(s.alias("score"), i.cast("bigint").alias("idx"))))
+    return _scores(docs, terms, exact).select("doc_id", "l", top.alias("top"))
+
+
+def best_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) -> DataFrame:
     """(doc_id, best, best_score, n_lines): the line of the best score, the last of equals."""
-    top = F.max(F.struct("score", "idx"))
-    return scored.groupBy("doc_id").agg(top.alias("t"), F.first("n_lines").alias("n_lines")).select("doc_id", F.col("t.idx").alias("best"), F.col("t.score").alias("best_score"), "n_lines")
+    return _best(docs, terms, exact).select("doc_id", F.col("top.idx").alias("best"), F.col("top.score").alias("best_score"), F.size("l").cast("bigint").alias("n_lines"))
 
 
 def window_start(best: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(best - SHOWN // 2, n - SHOWN))
 
 
-def window_lines(scored: DataFrame) -> DataFrame:
-    """(doc_id, idx, line) of the SHOWN lines around the best one, moved to stay within the text."""
-    top = W.partitionBy("doc_id")
-    low = window_start(F.max(F.struct("score", "idx")).over(top)["idx"], F.col("n_lines"))
-    return scored.withColumn("__low", low).filter(F.col("idx").between(F.col("__low"), F.col("__low") + SHOWN - 1)).select("doc_id", "idx", "line")
+def _window(docs: DataFrame, terms: Sequence[str], exact: bool) -> DataFrame:
+    """(doc_id, low, shown): the SHOWN lines around the best one, moved to stay within the text, and the first one's number."""
+    rows = _best(docs, terms, exact).withColumn("low", window_start(F.col("top.idx"), F.size("l")))
+    return rows.select("doc_id", "low", F.slice("l", F.col("low").cast("int") + 1, F.lit(SHOWN)).alias("shown"))
+
+
+def window_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) -> DataFrame:
+    """(doc_id, idx, line) of the lines that are shown."""
+    rows = _window(docs, terms, exact).select("doc_id", "low", F.posexplode("shown").alias("i", "line"))
+    return rows.select("doc_id", (F.col("low") + F.col("i")).cast("bigint").alias("idx"), "line")
 
 
 def snippets(docs: DataFrame, terms: Sequence[str], exact: bool = False) -> DataFrame:
     """(doc_id, snippet); a line break (CR LF) follows each line. A document without lines has no row."""
-    shown = window_lines(scored_lines(docs, terms, exact)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("x"))
-    return shown.select("doc_id", F.concat(F.array_join("x.line", "\r\n"), F.lit("\r\n")).alias("snippet"))
+    return _window(docs, terms, exact).select("doc_id", F.concat(F.array_join("shown", "\r\n"), F.lit("\r\n")).alias("snippet"))

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codec import VARBYTE, Codec
 from ..functions.score import SCORERS, Scorer, bm25_linear
+from ..functions.text import html_text
 from ..operators import blocks, invert, search, snippet
 from ..schemas import DOCS, LEXICON_FULL, POSTINGS, check
+from ..shared import small
 
 
 @dataclass
@@ -23,23 +26,25 @@ class SearchIndex:
     stats: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, folder: str, sparse: bool = True, with_blocks: bool = False) -> SearchIndex:
+    def build(cls, docs: DataFrame, folder: str, sparse: bool = True, with_blocks: bool = False, codec: Codec = VARBYTE) -> SearchIndex:
         """Write the tables of prepare()'s ``docs`` and load them.
 
         Postings are partitioned by ranges of terms and sorted by (term, doc_id)
         in their files, so that a query's filter skips files and row groups by
         their least and greatest terms. Each later table is made from a written
         one: documents are tokenised for the page table and the postings only.
+        If no id repeats, as in a primary key, tokens are counted within rows.
         """
         spark = docs.sparkSession
         docs.select(*DOCS.fieldNames()).write.parquet(f"{folder}/docs")
-        posts = invert.postings(docs, with_size=True)
+        repeats = spark.read.parquet(f"{folder}/docs").groupBy("doc_id").count().filter("count > 1")
+        posts = invert.postings(docs, with_size=True, unique=repeats.isEmpty())
         posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/postings")
         stored = spark.read.parquet(f"{folder}/postings")
         blocks.positions(stored, sparse).sortWithinPartitions("term").write.parquet(f"{folder}/lexicon")
         invert.stats(spark.read.parquet(f"{folder}/docs")).write.parquet(f"{folder}/stats")
         if with_blocks:
-            blocks.blocks(stored).sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/blocks")
+            blocks.blocks(stored, codec).sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/blocks")
         return cls.load(spark, folder)
 
     @classmethod
@@ -53,23 +58,26 @@ class SearchIndex:
         posts = invert.postings(docs, with_size=True)
         return cls(docs.select(*DOCS.fieldNames()), posts, invert.lexicon(posts), invert.stats(docs))
 
-    def search(self, query: str | Sequence[str], mode: str = search.OR, k: int = 10, scorer: str | Scorer = bm25_linear, strict: bool = False, analyze: bool = False, snippets: bool = True, exact: bool = False) -> DataFrame:
+    def search(self, query: str | Sequence[str], mode: str = search.OR, k: int = 10, scorer: str | Scorer = bm25_linear, strict: bool = False, analyze: bool = False, snippets: bool = True, exact: bool = False, text_snippet: bool = False) -> DataFrame:
         """(doc_id, url, size, score, query_freqs, snippet) of the k best documents, best first.
 
-        Bodies are read for these k documents only.
+        Bodies are read for these k documents only. ``text_snippet`` makes
+        snippets of the visible text instead of the page as it is.
         """
         terms = search.parse_query(query, analyze) if isinstance(query, str) else list(query)
         how = SCORERS[scorer] if isinstance(scorer, str) else scorer
         top = search.top_k(self.postings, self.lexicon, self.stats, terms, mode, k, how, strict)
         if not terms:
             return top.join(self.docs.select("doc_id", "url"), "doc_id").withColumn("snippet", F.lit(""))
-        found = search.with_pages(top.drop("size"), self.docs, "url", "size", "body")
+        found = search.with_pages(top, self.docs, "url", "body")
+        if text_snippet:
+            found = found.withColumn("body", html_text(F.col("body")))
         if snippets:
             found = found.join(snippet.snippets(found.select("doc_id", "size", "body"), terms, exact), "doc_id", "left")
         return found.drop("body").orderBy(*search.best_first())
 
     def batch(self, queries: DataFrame, k: int = 10, scorer: Scorer = bm25_linear) -> DataFrame:
-        words = F.broadcast(queries.select("term").distinct())
+        words = small(queries.select("term").distinct())
         return search.batch(self.postings.join(words, "term", "left_semi"), self.lexicon.join(words, "term", "left_semi"), self.stats, queries, k, scorer)
 
     def page(self, doc_id: int) -> DataFrame:
@@ -80,3 +88,8 @@ class SearchIndex:
         self.lexicon.persist()
         self.stats.persist()
         return self
+
+    def unpersist(self) -> SearchIndex:
+        self.lexicon.unpersist()
+        self.stats.unpersist()
+        return self

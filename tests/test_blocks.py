@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,10 +75,42 @@ def test_positions(spark):
 
 def test_numbering(spark):
     rows = spark.createDataFrame([(k, v) for k in "cab" for v in range(5)], "g string, v bigint")
-    got = number(rows, F.col("g"), [F.col("v")], "n").orderBy("n").collect()
+    got = number(rows.repartition(5), [F.col("g"), F.col("v")], "n").orderBy("n").collect()
     assert [(r.g, r.v, r.n) for r in got] == [(g, v, i * 5 + v + 1) for i, g in enumerate("abc") for v in range(5)]
-    sums = running_sum(rows, F.col("g"), [F.col("v")], F.col("v"), "s").orderBy("g", "v").collect()
+    sums = running_sum(rows, [F.col("g"), F.col("v")], F.col("v"), "s").orderBy("g", "v").collect()
     total = 0
     for r in sums:
         assert r.s == total
         total += r.v
+    big = spark.range(50_000).select((F.col("id") * 7919 % 50_021).alias("k")).repartition(7)
+    got = number(big, [F.col("k")], "n", 0).orderBy("k").collect()
+    assert [r.n for r in got] == list(range(len(got)))
+
+
+def test_many_rare_terms_in_a_segment(spark):
+    """The rule's time is linear in the terms of a segment."""
+    lex = spark.range(200_000).select(F.format_string("t%07d", F.col("id")).alias("term"), (F.col("id") % 3 + 1).alias("df"))
+    began = time.time()
+    got = [r.is_full for r in blocks.full_terms(lex).orderBy("term").collect()]
+    assert time.time() - began < 30
+    want = _full([(f"t{i:07}", i % 3 + 1) for i in range(200_000)])
+    assert got == [want[t] for t in sorted(want)]
+
+
+def test_codecs(spark):
+    """Postings through the bytes alone, by any codec; lengths are as they are told."""
+    rows = [(t, d * k, d % 300 + 1) for k, t in ((7, "a"), (90_001, "b")) for d in range(1, 300)] + [("c", 4294967295, 1)]
+    posts = spark.createDataFrame(rows, "term string, doc_id bigint, freq bigint")
+    for c in codec.CODECS.values():
+        chunks = blocks.blocks(posts, c)
+        assert sorted(map(tuple, blocks.unpack(chunks.drop("gaps", "freqs"), c).collect())) == sorted(rows)
+        n = chunks.select(F.sum("n_bytes")).first()[0]
+        assert n == chunks.select(F.sum(F.aggregate(F.concat("gaps", "freqs"), F.lit(0).cast("bigint"), lambda a, x: a + c.length(x)))).first()[0]
+
+
+def test_offsets_of_a_long_list(spark, monkeypatch):
+    chunks = spark.createDataFrame([(t, i, i % 5 + 1) for t in "ab" for i in range(300)], "term string, chunk_id bigint, n_bytes bigint")
+    whole = sorted(map(tuple, blocks.chunk_offsets(chunks).collect()))
+    monkeypatch.setattr(blocks, "CHUNK_SPAN", 16)
+    assert sorted(map(tuple, blocks.chunk_offsets(chunks).collect())) == whole
+    assert [r[2] for r in whole[:4]] == [0, 1, 3, 6]

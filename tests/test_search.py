@@ -117,15 +117,18 @@ def test_term_ids_and_runs(micro):
 
 @pytest.mark.parametrize("n,best,want", [(1, 0, [0]), (2, 1, [0, 1]), (4, 3, [0, 1, 2, 3]), (3, 1, [0, 1, 2]), (5, 4, [0, 1, 2, 3, 4]), (7, 0, [0, 1, 2, 3, 4]), (7, 3, [1, 2, 3, 4, 5]), (7, 4, [2, 3, 4, 5, 6]), (7, 6, [2, 3, 4, 5, 6])])
 def test_snippet_window(spark, n, best, want):
-    rows = spark.createDataFrame([(1, i, f"l{i}", n, 1 if i == best else 0) for i in range(n)], "doc_id bigint, idx bigint, line string, n_lines bigint, score bigint")
-    assert sorted(r.idx for r in snippet.window_lines(rows).collect()) == want
+    body = "\n".join("word " * (3 if i == best else 1) + f"l{i}" if i == best else f"l{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, 1000, body)], "doc_id bigint, size bigint, body string")
+    rows = snippet.window_lines(docs, ["word"], exact=True).collect()
+    assert sorted(r.idx for r in rows) == want and all(r.line.endswith(f"l{r.idx}") for r in rows)
+    assert snippet.best_lines(docs, ["word"], exact=True).first().best == best
 
 
 def test_snippets(micro):
     docs = micro.select("doc_id", "size", "body")
     got = {r.doc_id: r.snippet for r in snippet.snippets(docs, ["alpha"]).collect()}
     assert got[6] == "http://f.io/u omega\r\nzzz\r\n"
-    scores = {r.doc_id: r.best for r in snippet.best_lines(snippet.scored_lines(docs, ["alpha"])).collect()}
+    scores = {r.doc_id: r.best for r in snippet.best_lines(docs, ["alpha"]).collect()}
     assert scores[6] == 1  # all lines tie at 0, and the last one wins
     for r in snippet.scored_lines(docs, ["alpha", "beta"]).collect():
         assert r.score >= 0
@@ -144,6 +147,10 @@ def test_stored_index(spark, micro, tmp_path):
     assert {r.doc_id for r in SearchIndex.of(micro).search("omega", OR).collect()} == {6, 7}
     lex = index.lexicon.orderBy("position").collect()
     assert lex[0].is_full and all(a.next_position == b.position for a, b in zip(lex, lex[1:]))
+    page = spark.createDataFrame([(1, "http://x.io", "<p>one <b>rare</b></p>\n<script>x</script>")], "id bigint, url string, text string")
+    other = SearchIndex.build(invert.prepare(page, "id", "text", "url", html=True), str(tmp_path / "other"))
+    assert other.search("rare").first().snippet.startswith("http://x.io <p>one <b>rare") and " ".join(other.search("rare", text_snippet=True).first().snippet.split()) == "http://x.io one rare"
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,gamma)" in search.open_list(index.postings, "gamma")._jdf.queryExecution().executedPlan().toString()
     queries = spark.createDataFrame([(1, "omega", OR)], "query_id int, term string, mode string")
     assert [r.doc_id for r in index.batch(queries).orderBy("rank").collect()] == [6, 7]
 
@@ -171,3 +178,19 @@ def test_missing_bodies_and_urls(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "u", None), (3, " ", "x"), (4, "u", "x")], "id bigint, url string, text string")
     assert [r.doc_id for r in invert.prepare(rows, "id", "text", "url").collect()] == [4]
     assert invert.prepare(rows, "id", "text").count() == 3
+
+
+def test_counting_within_rows(spark):
+    """With ids that don't repeat, the same postings without a shuffle; an index of repeated ids sums them up."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcde", k=rng.randint(0, 30))) for _ in range(40)] + ["", "é é z"]
+    docs = invert.prepare(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text")
+    one, two = invert.postings(docs, True, unique=True), invert.postings(docs, True)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_of_repeated_ids(spark, tmp_path):
+    docs = invert.prepare(spark.createDataFrame([(1, "a b a"), (1, "a c c"), (2, "c")], "id bigint, text string"), "id", "text")
+    index = SearchIndex.build(docs, str(tmp_path / "i"))
+    assert sorted((r.term, r.doc_id, r.freq) for r in index.postings.collect()) == [("a", 1, 3), ("b", 1, 1), ("c", 1, 2), ("c", 2, 1)]
