@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillseek.functions.text import html_text, html_text_full, lines, tokenize
@@ -31,6 +34,15 @@ def test_html(spark):
         assert " ".join(r.a) == " ".join(r.b) == r.want, r.h
 
 
+@pytest.mark.parametrize("part", ["<!--", "<a ", "<script>", "<script ", "<noscript>", "</head ", "<head>", "<", "&", "&#", "<header><header>x</header>", "<noscript ", "-->"])
+def test_time_is_linear(spark, part):
+    """A megabyte of any broken markup; a quadratic search would take minutes to hours."""
+    df = spark.createDataFrame([(part, 1_000_000 // len(part))], "p string, n int").repartition(1).select(html_text(F.repeat("p", F.col("n"))).alias("t"))
+    began = time.time()
+    df.select(F.sum(F.length("t"))).collect()
+    assert time.time() - began < 20
+
+
 def test_full_parser_handles_what_expressions_do_not(spark):
     df = spark.createDataFrame([("<head><title>t<body>x &eacute;",)], "h string")
     assert df.select(tokenize(html_text_full(F.col("h")))).first()[0] == ["x", "é"]
