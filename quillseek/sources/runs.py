@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,26 +14,41 @@ from ..functions.codec import decode, encode
 from ..schemas import RUN
 
 
+#: Bytes that are read at a time.
+READ = 4 << 20
+
+
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(term, doc_id, freq) of varbyte run files, one file at a time in a task; a record that was cut off raises."""
+    """(term, doc_id, freq) of varbyte run files, each read as a stream by one task; a record that was cut off raises."""
+
+    def records(f, name: str) -> Iterator[list[tuple[str, int, int]]]:
+        rest, more = b"", True
+        while more:
+            new = f.read(READ)
+            more = bool(new)
+            data, at, rows = rest + new, 0, []
+            while at < len(data):
+                try:
+                    (doc, freq, size), end = decode(data, at, 3)
+                except ValueError:
+                    break  # goes on in what is read next
+                if end + size > len(data):
+                    break
+                rows.append((data[end : end + size].decode(), doc, freq))
+                at = end + size
+            rest = data[at:]
+            yield rows
+        if rest:
+            raise ValueError(f"{name} ends within a record")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name in b["path"]:
                 system, path = fs.FileSystem.from_uri(name)
                 with system.open_input_stream(path, compression=None) as f:
-                    data = f.read()
-                at, rows = 0, []
-                while at < len(data):
-                    (doc, freq, size), at = decode(data, at, 3)
-                    if at + size > len(data):
-                        raise ValueError(f"{name} ends within a record")
-                    rows.append((data[at : at + size].decode(), doc, freq))
-                    at += size
-                    if len(rows) >= 50_000:
-                        yield pd.DataFrame(rows, columns=RUN.fieldNames())
-                        rows = []
-                yield pd.DataFrame(rows, columns=RUN.fieldNames())
+                    for rows in records(f, name):
+                        for i in range(0, len(rows), 50_000):
+                            yield pd.DataFrame(rows[i : i + 50_000], columns=RUN.fieldNames())
 
     files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return files.mapInPandas(run, RUN)
@@ -44,8 +60,6 @@ def write_runs(posts: DataFrame, folder: str, n: int | None = None) -> list[str]
     rows = (rows.repartitionByRange(n, "term") if n else rows).sortWithinPartitions("term", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
-
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         name, wrote = f"{base}/{uuid.uuid4().hex}.run", False
@@ -73,8 +87,8 @@ def read_text_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_id_runs(posts: DataFrame, ids: DataFrame, folder: str) -> None:
     """(term_id, doc_id, freq) as Parquet, beside the term map in folder/terms."""
-    posts.join(ids, "term").select("term_id", "doc_id", "freq").write.parquet(f"{folder}/postings")
     ids.write.parquet(f"{folder}/terms")
+    posts.join(posts.sparkSession.read.parquet(f"{folder}/terms"), "term").select("term_id", "doc_id", "freq").write.parquet(f"{folder}/postings")
 
 
 def read_id_runs(spark: SparkSession, folder: str) -> DataFrame:

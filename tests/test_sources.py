@@ -1,11 +1,12 @@
 import pytest
 
 from quillseek import cli
+from quillseek.functions import codec
 from quillseek.operators import invert, search
 from quillseek.schemas import DOCS, check
 from quillseek.sources import runs
 from quillseek.sources.trec import read_trec
-from quillseek.streaming.ingest import ingest
+from quillseek.streaming.ingest import finish, ingest
 
 TREC = "<DOC>\n<DOCNO>1</DOCNO>\n<TEXT>junk\n http://a.io/x \n<p>Alpha</p>\nbeta\n</TEXT>\n</DOC>\n<DOC><TEXT>\n\nno url</TEXT></DOC>\n<DOC>\n<TEXT>\nhttp://b.io\n<b>gamma</b> alpha</TEXT>\n<TEXT>\nhttp://c.io\nnever ended\n"
 
@@ -56,6 +57,32 @@ def test_text_and_id_runs(spark, tmp_path, posts):
     assert rows(runs.read_id_runs(spark, str(tmp_path / "ids"))) == rows(posts)
 
 
+def test_runs_are_read_as_streams(spark, tmp_path):
+    """A file larger than what is read at a time, whose records lie across the reads."""
+    n = 400_000
+    (tmp_path / "big.run").write_bytes(b"".join(codec.encode((i, i % 9 + 1, 12)) + b"term%08d" % i for i in range(n)))
+    assert (tmp_path / "big.run").stat().st_size > runs.READ
+    got = runs.read_runs(spark, [f"file://{tmp_path}/big.run"])
+    assert got.filter("term = concat('term', lpad(doc_id, 8, '0')) and freq = doc_id % 9 + 1").count() == n == got.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("end", ["\n</DOC>\n", "", "<TEXT>\nhttp://cut.off\nnever ended"])
+def test_trec_files_are_split(spark, tmp_path, end):
+    """Documents across the borders of splits are read once, in order."""
+    bodies = ["é" * (k % 700) + f" body {k}" for k in range(3000)]
+    for f in ("a", "b"):
+        (tmp_path / f"{f}.trec").write_text("".join(f"<DOC>\n<TEXT>\nhttp://{f}.io/{k}\n{b}</TEXT>" for k, b in enumerate(bodies)) + end)
+    conf, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(conf, "100000")
+    try:
+        docs = read_trec(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        got = docs.orderBy("doc_id").collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert [(r.doc_id, r.url, r.html) for r in got] == [(i * 3000 + k + 1, f"http://{f}.io/{k}", b) for i, f in enumerate("ab") for k, b in enumerate(bodies)]
+
+
 def test_schema_check(spark):
     with pytest.raises(ValueError, match="body"):
         check(spark.createDataFrame([(1, "u", 2)], "doc_id bigint, url string, size bigint"), DOCS)
@@ -80,5 +107,7 @@ def test_streamed_documents(spark, tmp_path):
         schema = spark.read.parquet(str(source)).schema
         ingest(spark, str(source), schema, out, str(tmp_path / "state")).awaitTermination()
         assert spark.read.parquet(f"{out}/docs").count() == k + 1
+    index = finish(spark, out)
+    assert [r.doc_id for r in index.search("alpha").collect()] == [1] and index.stats.first().n == 2
     posts = spark.read.parquet(f"{out}/postings")
     assert sorted(r.doc_id for r in search.boolean(posts, ["beta"], search.OR).collect()) == [1, 2]
