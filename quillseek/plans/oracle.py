@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import ENTITIES, HIDDEN
-from .queries import COMMON, MISSING, PAGE_TERMS, PAIR
+from .queries import COMMON, HTML_CASES, MISSING, PAGE_TERMS, PAIR
 
 _RX = r"""[ @#$%^&*<>`:.,?!()/\\+\-_\[\]{}"''\r\n\t]"""
 
@@ -12,14 +12,29 @@ def _tokens(text: str) -> str:
     return f"list_filter(string_split_regex({text}, '{_RX}'), lambda t: strlen(t) between 1 and 30)"
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _html(text: str) -> str:
-    out = f"regexp_replace({text}, '<!--.*?-->', ' ', 'gs')"
+    """By splitting at "<" and "&", where the engine replaces; bound to a name at each step, so that the text stays short."""
+    steps = ["regexp_replace(regexp_replace(t, '<!--.*?-->', ' ', 'gs'), '<!--.*', ' ', 's')"]
     for tag in HIDDEN:
-        out = rf"regexp_replace({out}, '<{tag}(\s[^>]*)?>.*?</{tag}\s*>', ' ', 'gs')"
-    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'gs')"
-    for name, char in ENTITIES:
-        out = "replace({}, '{}', '{}')".format(out, name, char.replace("'", "''"))
-    return out
+        opened = rf"<{tag}(\s[^<>]*)?>"
+        steps.append(rf"regexp_replace(t, '{opened}.*?</{tag}\s*>', ' ', 'gs')")
+        if tag == "head":
+            steps.append(rf"regexp_replace(t, '{opened}.*?(<body[\s>])', ' \2', 's')")
+        steps.append(rf"regexp_replace(t, '{opened}.*', ' ', 's')")
+    steps.append("array_to_string(list_transform(string_split(t, '<'), lambda p, i: case when i = 1 then p when contains(p, '>') then ' ' || substr(p, strpos(p, '>') + 1) else '<' || p end), '')")
+    names = "map([" + ", ".join(map(_quote, ENTITIES)) + "], [" + ", ".join(map(_quote, ENTITIES.values())) + "])"
+    code = "try_cast(case when lower(ref[:2]) = '#x' then '0x' || replace(ref[3:], ';', '') when ref[1] = '#' then replace(ref[2:], ';', '') end as bigint)"
+    known = f"case when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr(cast({code} as integer)) when ref[1] <> '#' then {names}[replace(ref, ';', '')] end"
+    piece = f"list_transform([regexp_extract(p, '^(#[0-9]{{1,7}};?|#[xX][0-9a-fA-F]{{1,6}};?|[a-zA-Z][a-zA-Z0-9]{{1,31}};)', 1)], lambda ref: coalesce({known} || p[len(ref) + 1:], '&' || p))[1]"
+    steps.append(f"case when contains(t, '&') then array_to_string(list_transform(string_split(t, '&'), lambda p, i: case when i = 1 then p else {piece} end), '') else t end")
+    out = f"[{text}]"
+    for step in steps:
+        out = f"list_transform({out}, lambda t: {step})"
+    return f"({out})[1]"
 
 
 def _in(terms) -> str:
@@ -162,3 +177,18 @@ SQL: dict[str, str] = {
     "page_count": _with(PAGES) + "select cast(count(*) as bigint) as n from docs",
     "docs_with_term": _with(PAGES, SIZES) + f"select doc_id, size from sizes where doc_id in (select doc_id from docs where list_contains(tokens, '{PAGE_TERMS[0]}'))",
 }
+#: Stored tables and files give what the queries that compute everything anew give.
+SQL |= {
+    f"indexed_{name}": SQL[name] for name in ("open_list", "next_geq", "boolean_and", "bm25_and_top10", "bm25_or_top10", "batch_bm25", "search_with_snippets")
+} | {
+    "index_lexicon": SQL["lexicon_sparse_positions"], "index_stats": SQL["corpus_stats"], "payload_decode": SQL["postings"], "payload_decode_fixed": SQL["postings"], "runs_varbyte": SQL["postings"], "runs_text": SQL["postings"], "runs_ids": SQL["postings"],
+    "term_map": SQL["term_ids"],
+    "runs_merged": BASE + f"select term, doc_id, cast(sum(freq) as bigint) as freq from (select * from post where doc_id % 3 <= 0 union all select * from post where doc_id % 3 <= 1) where term in {_in(COMMON)} group by term, doc_id",
+    "varbyte_file": _with(_NUMBERS) + "select n, n % 7 + 1 as freq from nums",
+    "index_pages": _with(PAGES) + "select doc_id, url, body, cast(len(tokens) as bigint) as size from docs",
+    "trec_documents": "select cast(row_number() over (order by page_id) as bigint) as doc_id, trim(url) as url, html from pages where trim(url) <> ''", "document_numbers": "select page_id, cast(row_number() over (order by url, page_id) as bigint) as doc_id from pages where trim(url) <> '' and html is not null",
+    "html_cases": "select * from (values " + ", ".join(f"(cast({n} as bigint), {_quote(text)})" for n, (_, text) in enumerate(HTML_CASES)) + ") v(n, text)",
+    "tokenize_by_space": r"select doc_id, cast(unnest(range(len(tokens))) as bigint) as pos, unnest(tokens) as term from (select doc_id, list_filter(string_split_regex(lower(text), '[ \n]'), lambda t: t <> '') as tokens from documents where text is not null)",
+    "parsed_query": "select how, cast(place as bigint) as place, term from (values ('plain', 0, 'Foo'), ('plain', 1, 'foo-bar'), ('plain', 2, 'that'), ('analyzed', 0, 'foo'), ('analyzed', 1, 'foo'), ('analyzed', 2, 'bar'), ('analyzed', 3, 'that')) v(how, place, term)",
+}
+SQL["trec_documents_utf16"] = SQL["trec_documents"]
