@@ -253,7 +253,7 @@ def _found(kind: np.dtype, width: int, mean: np.ndarray, k: int):
                 q, i = q[keep], i[keep]
                 keep = q_node[q] != i_node[i]
                 q, i = q[keep], i[keep]
-                cos = np.concatenate([np.einsum("ij,ij->i", q_vec[q[n : n + 65_536]], i_vec[i[n : n + 65_536]]) for n in range(0, len(q), 65_536)] or [np.empty(0, np.float32)])
+                cos = np.concatenate([np.einsum("ij,ij->i", q_vec[q[n : n + 16_384]], i_vec[i[n : n + 16_384]]) for n in range(0, len(q), 16_384)] or [np.empty(0, np.float32)])
                 keep = cos >= bound[q]
                 q, i, cos = q[keep], i[keep], cos[keep]
                 top = _best(q, i_node[i], cos, k)
@@ -264,11 +264,15 @@ def _found(kind: np.dtype, width: int, mean: np.ndarray, k: int):
         _, one = np.unique(q * len(index) + i, return_index=True)  # a pair that is met in several indexes
         q, i, cos = q[one], i[one], cos[one]
         top = _best(q, i_node[i], cos, k)
-        q, i = q[top], i[top]
-        a, b, m = q_vec[q].astype(np.float64), i_vec[i].astype(np.float64), mean.astype(np.float64)
-        cos, a_m, b_m = np.einsum("ij,ij->i", a, b), a - m, b - m
-        turn = np.einsum("ij,ij->i", a_m, b_m) / np.maximum(1e-12, np.linalg.norm(a_m, axis=1) * np.linalg.norm(b_m, axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(q_node[q]), pa.array(i_node[i]), pa.array(cos), pa.array(np.arccos(np.clip(turn, -1, 1)) / np.pi)], ["q", "id", "cosine", "apart"])
+        m = mean.astype(np.float64)
+        for n in range(0, len(top), 16_384):
+            q_n, i_n = q[top[n : n + 16_384]], i[top[n : n + 16_384]]
+            a, b = q_vec[q_n].astype(np.float64), i_vec[i_n].astype(np.float64)
+            cos = np.einsum("ij,ij->i", a, b)
+            a -= m
+            b -= m
+            turn = np.einsum("ij,ij->i", a, b) / np.maximum(1e-12, np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(q_node[q_n]), pa.array(i_node[i_n]), pa.array(cos), pa.array(np.arccos(np.clip(turn, -1, 1)) / np.pi)], ["q", "id", "cosine", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -315,7 +319,7 @@ def search(unit: DataFrame, n: int, dim: int, k: int = K, part_bytes: int = PART
     mean, project = learn(unit.select("v"), dim, TABLES * width)
     k, radii, asked = min(k, n - 1), [-1] * TABLES, []
     found, open_rows = None, n
-    for level in levels(width):
+    for level in levels(width) if k < n - 1 else [(0, 1, width)]:  # all others are asked for: the ball is the whole index
         first, last, radius = level
         asked.append((level, open_rows))
         prefix = max(0, math.ceil(math.log2(n * _record(1, dim).itemsize / part_bytes)))
