@@ -57,7 +57,7 @@ def blocks(posts: DataFrame, codec: Codec = VARBYTE) -> DataFrame:
 
 def unblock(chunks: DataFrame) -> DataFrame:
     """Postings of blocks(): ids are running sums of the gaps."""
-    one = chunks.select("term", "chunk_id", F.posexplode(F.arrays_zip("gaps", "freqs")).alias("i", "x"))
+    one = chunks.select("term", "chunk_id", F.posexplode_outer(F.arrays_zip("gaps", "freqs")).alias("i", "x")).filter("x is not null")
     total = F.sum("x.gaps").over(W.partitionBy("term", "chunk_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     return one.select("term", total.alias("doc_id"), F.col("x.freqs").alias("freq"))
 

@@ -31,7 +31,8 @@ def prepare(rows: DataFrame, id_col: str, text_col: str, url_col: str | None = N
 
 def token_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, term), a row for each token; pos counts from 0."""
-    return docs.select("doc_id", F.posexplode("tokens").alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
+    rows = docs.select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).filter("term is not null")  # a plain posexplode would be given a filter that tokenises once more
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def postings(docs: DataFrame, with_size: bool = False, unique: bool = False) -> DataFrame:
@@ -46,9 +47,9 @@ def postings(docs: DataFrame, with_size: bool = False, unique: bool = False) ->
     if unique:
         runs = docs.select("doc_id", *keep, F.array_sort("tokens").alias("s"))
         runs = runs.withColumn("at", F.expr("filter(transform(s, (x, i) -> if(i = 0 or s[greatest(i - 1, 0)] <> x, i, null)), i -> i is not null)"))
-        counts = F.expr("inline(transform(at, (p, k) -> named_struct('term', s[p], 'freq', cast(coalesce(get(at, k + 1), size(s)) - p as bigint))))")
-        return runs.select("doc_id", *keep, counts).select("term", "doc_id", "freq", *keep)
-    return docs.select("doc_id", *keep, F.explode("tokens").alias("term")).groupBy("term", "doc_id", *keep).agg(F.count("*").alias("freq")).select("term", "doc_id", "freq", *keep)
+        counts = F.expr("inline_outer(transform(at, (p, k) -> named_struct('term', s[p], 'freq', cast(coalesce(get(at, k + 1), size(s)) - p as bigint))))")
+        return runs.select("doc_id", *keep, counts).filter("term is not null").select("term", "doc_id", "freq", *keep)
+    return docs.select("doc_id", *keep, F.explode_outer("tokens").alias("term")).filter("term is not null").groupBy("term", "doc_id", *keep).agg(F.count("*").alias("freq")).select("term", "doc_id", "freq", *keep)
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def narrow(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
 def matches(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Postings (term, doc_id, freq, size) of the given terms only, straight from documents or narrow(): nothing else is exploded or shuffled."""
     rows = docs if "found" in docs.columns else narrow(docs, terms)
-    return rows.select("doc_id", "size", F.inline("found")).select("term", "doc_id", "freq", "size")
+    return rows.select("doc_id", "size", F.inline_outer("found")).filter("term is not null").select("term", "doc_id", "freq", "size")
 
 
 def scored(posts: DataFrame, lex: DataFrame, stats: DataFrame, query: DataFrame, scorer: Scorer = bm25_linear) -> DataFrame:

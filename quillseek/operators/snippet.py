@@ -15,7 +15,7 @@ SHOWN = 5
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, size, idx, line) of the lines that aren't empty; idx counts from 0."""
-    return docs.select("doc_id", "size", F.posexplode(lines(F.col("body"))).alias("idx", "line")).withColumn("idx", F.col("idx").cast("bigint"))
+    return docs.select("doc_id", "size", F.posexplode_outer(lines(F.col("body"))).alias("idx", "line")).filter("line is not null").withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def _line_arrays(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def scored_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) ->
     and to 0 at least, unless ``exact``. A term in more lines than the size
     allows counts nothing.
     """
-    rows = _scores(docs, terms, exact).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.posexplode(F.arrays_zip("l", "scores")).alias("idx", "x"))
+    rows = _scores(docs, terms, exact).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), F.posexplode_outer(F.arrays_zip("l", "scores")).alias("idx", "x"))
     return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.col("x.l").alias("line"), "n_lines", F.col("x.scores").alias("score"))
 
 
@@ -90,7 +90,7 @@ def _window(docs: DataFrame, terms: Sequence[str], exact: bool) -> DataFrame:
 
 def window_lines(docs: DataFrame, terms: Sequence[str], exact: bool = False) -> DataFrame:
     """(doc_id, idx, line) of the lines that are shown."""
-    rows = _window(docs, terms, exact).select("doc_id", "low", F.posexplode("shown").alias("i", "line"))
+    rows = _window(docs, terms, exact).select("doc_id", "low", F.posexplode_outer("shown").alias("i", "line"))
     return rows.select("doc_id", (F.col("low") + F.col("i")).cast("bigint").alias("idx"), "line")
 
 
