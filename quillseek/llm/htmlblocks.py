@@ -70,10 +70,26 @@ class Path:
         return tuple(reversed(out))
 
 
+class Paths:
+    """Paths that were made, as pages of a site share them."""
+
+    def __init__(self) -> None:
+        self.made: dict[tuple[Path | None, str], Path] = {}
+
+    def of(self, above: Path | None, label: str) -> Path:
+        path = self.made.get((above, label))
+        if path is None:
+            if len(self.made) > 50_000:
+                self.made.clear()
+            path = self.made[above, label] = Path(above, label)
+        return path
+
+
 class _Open:
     """The tags that are open, with the places of each, so that ends are found without a search."""
 
-    def __init__(self) -> None:
+    def __init__(self, paths: Paths) -> None:
+        self.paths = paths
         self.tags: list[tuple[str, Path | None]] = []
         self.places: dict[str, list[int]] = {}
         self.fences: list[int] = []
@@ -85,7 +101,7 @@ class _Open:
         self.places.setdefault(tag, []).append(len(self.tags))
         if tag in _FENCE:
             self.fences.append(len(self.tags))
-        self.tags.append((tag, self.path() if tag in _INLINE else Path(self.path(), label)))
+        self.tags.append((tag, self.path() if tag in _INLINE else self.paths.of(self.path(), label)))
 
     def last(self, tags) -> int:
         """Place of the last of ``tags`` that is open, unless a container was opened after it; -1 if there is none."""
@@ -162,7 +178,7 @@ def _tags(html: str) -> Iterator[tuple[str, str, str, str]]:
     yield "".join(parts) + html[begin:], "", "", ""
 
 
-def blocks(html: str) -> list[tuple[Path | None, str, float]]:
+def blocks(html: str, paths: Paths | None = None) -> list[tuple[Path | None, str, float]]:
     """(tag path, text, part of its letters that are link text) of every block that has text, in order.
 
     Never fails, and takes time in proportion to the length: tags that aren't
@@ -170,7 +186,7 @@ def blocks(html: str) -> list[tuple[Path | None, str, float]]:
     that aren't ended reach to the end.
     """
     out: list[tuple[Path | None, str, float]] = []
-    tags = _Open()
+    tags = _Open(paths or Paths())
     parts: list[str] = []
     linked = 0
 
@@ -397,11 +413,11 @@ def extract(pages: DataFrame, model: dict[str, np.ndarray] | None, id_col: str =
     known = pages.sparkSession.sparkContext.broadcast(model)  # some 12,000 numbers, whatever the pages
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = Features()
+        make, paths = Features(), Paths()
         for b in batches:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
-                found = [blocks(h) if h else [] for h in part["html"]]
+                found = [blocks(h, paths) if h else [] for h in part["html"]]
                 marks = label(known.value, found, make) if known.value is not None else [np.array([links < 0.5 and len(t.split()) >= 10 for _, t, links in f], bool) for f in found]
                 yield pd.DataFrame(
                     {
