@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest side, in bytes, that an operator broadcasts; beyond it, it shuffles.
-BROADCAST_BYTES = 16 << 20
+from ..shared import quoted, shared_dir, small
+from ..shared import written as _written
+
+__all__ = ["bitmap", "id_back", "id_key", "is_marked", "key_type", "quoted", "row_key", "shared_dir", "small", "spare", "table", "word_count", "written"]
+
 #: Rows of text that go to Python at a time.
 TEXT_ROWS = 1000
 #: Bits of a bitmap for each of its keys, and the most bits of one (64 MB).
@@ -23,22 +24,6 @@ MARK_BITS, MOST_BITS = 16, 1 << 29
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees, for tables that cut lineage.
-
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
-    the master is local, a temporary folder is made and set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="quillseek-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -46,10 +31,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     that is used several times is computed once. Texts go to Python in batches
     of TEXT_ROWS meanwhile, as both sides hold whole batches.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     with _text_batches(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        return _written(df, label)
 
 
 @contextmanager
@@ -64,21 +47,6 @@ def _text_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(conf, before)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its rows take at most BROADCAST_BYTES, which are summed first; ``df`` should be a written table or little more."""
-    size = F.lit(0).cast("bigint")
-    for f in df.schema:
-        c = quoted(f.name)
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            size = size + F.coalesce(F.octet_length(c), F.lit(0))
-        elif isinstance(f.dataType, T.ArrayType):
-            size = size + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
-        else:
-            size = size + F.lit(16)
-    total = df.agg(F.sum(size + 32)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,11 +56,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("bigint")
 
 
-def quoted(name: str) -> Column:
-    """The column of that name, whatever characters it has."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def spare(df: DataFrame, *wanted: str) -> list[str]:
     """Names like ``wanted`` that ``df`` has no column of, letter case aside."""
     taken, out = {c.lower() for c in df.columns}, []
