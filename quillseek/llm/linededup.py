@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from .common import bitmap, is_marked, key_type, quoted, row_key, spare, table,
 
 #: Words that make a line a chunk of its own, and that several lines need to be removed.
 LONG, LEAST = 20, 10
+#: Characters of chunks that a task gives out at a time.
+OUT_CHARS = 2 << 20
 
 
 def _lines(text: str) -> list[tuple[int, int, int]]:
@@ -83,8 +86,9 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cols = ["hash", "first_text", "before", "after"]
     for b in batches:
-        rows = []
+        rows, size = [], 0
         for text, spans in zip(b["text"], b["spans"]):
             bounds = [(s, e) for s, e, _ in _lines(text)]
             first, last = {s: k for k, (s, _) in enumerate(bounds)}, {e: k for k, (_, e) in enumerate(bounds)}
@@ -93,7 +97,11 @@ def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before = text[slice(*bounds[i - 1])] if i else None
                 after = text[slice(*bounds[j + 1])].removesuffix("\n") if j + 1 < len(bounds) else None
                 rows.append((c["hash"], text[c["start"] : c["end"]].removesuffix("\n"), before, after))
-        yield pd.DataFrame(rows, columns=["hash", "first_text", "before", "after"], dtype="object")
+                size += c["end"] - c["start"] + len(before or "") + len(after or "")
+                if size > OUT_CHARS:
+                    yield pd.DataFrame(rows, columns=cols, dtype="object")
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=cols, dtype="object")
 
 
 def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
@@ -179,9 +187,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a, b, c, spans_name, done = spare(docs, "cut_id", "cut_key", "cut_hash", "cut_spans", "cut_done")
     spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias(a), F.col("d_key").alias(b)).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias(spans_name))
 
-    @F.pandas_udf("struct<text: string, n: int>")
-    def cut_all(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([cut(t, s) for t, s in zip(text, spans)], columns=["text", "n"])
+    @F.arrow_udf("struct<text: string, n: int>")
+    def cut_all(text: pa.Array, spans: pa.Array) -> pa.Array:
+        done = (cut(t.as_py(), s.as_py()) for t, s in zip(text, spans))  # a row's spans at a time
+        texts, counts = zip(*done) if len(text) else ((), ())
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
 
     names = [x for x in docs.columns if x.lower() != count_col.lower()]
     rows = docs.select(*map(quoted, names), k2.alias(c))
