@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bitmap, is_marked, key_type, quoted, row_key, spare, table, written
 
@@ -184,6 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holders = texts.filter(_marked(repeated.select("d_key").distinct())(F.col("d_key")))
     firsts = holders.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, "hash bigint, first_text string, before string, after string").dropDuplicates(["hash"])
     again = spots.join(repeated.select("hash", F.struct("d_id", "d_key", "start").alias("first")), "hash").filter(place != F.col("first")).select("d_id", "d_key", "start", "end", "hash").distinct()
+    again = written(again, "again")
     a, b, c, spans_name, done = spare(docs, "cut_id", "cut_key", "cut_hash", "cut_spans", "cut_done")
     spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias(a), F.col("d_key").alias(b)).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias(spans_name))
 
@@ -194,9 +196,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
 
     names = [x for x in docs.columns if x.lower() != count_col.lower()]
-    rows = docs.select(*map(quoted, names), k2.alias(c))
-    joined = rows.join(spans, (k1 == F.col(a)) & (F.col(c) == F.col(b)), "left").withColumn(done, cut_all(quoted(text_col), F.col(spans_name)))
-    return joined.select(*[F.col(done)["text"].alias(x) if x.lower() == text_col.lower() else quoted(x) for x in names], F.col(done)["n"].alias(count_col))
+    void = [x for x in names if isinstance(docs.select(quoted(x)).schema[0].dataType, T.NullType)]  # Parquet has no such columns
+    rows = docs.select(*[quoted(x) for x in names if x not in void], k2.alias(c))
+    touched = _marked(again.select("d_key").distinct())
+    joined = rows.filter(touched(F.col(c))).join(spans, (k1 == F.col(a)) & (F.col(c) == F.col(b)), "left").withColumn(done, cut_all(quoted(text_col), F.col(spans_name)))
+    some = joined.select(*[F.col(done)["text"].alias(x) if x.lower() == text_col.lower() else quoted(x) for x in names if x not in void], F.col(done)["n"].alias(count_col))
+    rest = rows.filter(~touched(F.col(c))).select(*[quoted(x) for x in names if x not in void], F.lit(0).alias(count_col))  # their texts aren't shuffled
+    both = written(some, "cut").unionByName(rest)
+    return both.select(*[F.lit(None).alias(x) if x in void else quoted(x) for x in names], quoted(count_col))
 
 
 def query(spark, sf_dir):

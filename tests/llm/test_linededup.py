@@ -2,6 +2,7 @@ import random
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quillseek.llm import common
 from quillseek.llm import linededup as L
@@ -12,8 +13,6 @@ KIND = "doc_id bigint, text string"
 def brute(rows):
     """{(id, text): text that is left}: the same rule, one document after the other."""
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
-
     from quillseek.llm.common import row_key
 
     spark = SparkSession.getActiveSession()
@@ -102,6 +101,8 @@ def test_other_columns_and_empty(spark):
     out = L.remove_repeats(df)
     assert out.columns == ["doc_id", "text", "hash", "spans", "removed_chunks"] and out.first() == (1, "a", 5, "k", 0)
     assert L.remove_repeats(df.limit(0)).count() == 0
+    void = L.remove_repeats(df.withColumn("nothing", F.lit(None)))
+    assert void.columns[-2:] == ["nothing", "removed_chunks"] and void.first()["nothing"] is None
 
 
 @pytest.mark.parametrize("bits", [common.MOST_BITS, 1 << 10])
