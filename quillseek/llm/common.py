@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 from ..shared import quoted, shared_dir, small
 from ..shared import written as _written
 
-__all__ = ["bitmap", "id_back", "id_key", "is_marked", "key_type", "quoted", "row_key", "shared_dir", "small", "spare", "table", "word_count", "written"]
+__all__ = ["bitmap", "id_back", "id_key", "is_marked", "key_type", "quoted", "row_key", "shared_dir", "small", "small_batches", "spare", "table", "word_count", "written"]
 
-#: Rows of text that go to Python at a time.
-TEXT_ROWS = 1000
+#: Rows of text, and of chunks with it, that go to Python at a time.
+TEXT_ROWS = 100
 #: Bits of a bitmap for each of its keys, and the most bits of one (64 MB).
 MARK_BITS, MOST_BITS = 16, 1 << 29
 #: Never an id in practice; stands for the null id where ids are integers.
@@ -47,6 +47,19 @@ def _text_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(conf, before)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after setting the session's rows of an Arrow batch to TEXT_ROWS if they are Spark's default.
+
+    For results that the caller runs: both sides hold whole batches, and what
+    the JVM took for large ones outside of its heap it doesn't give back.
+    Batches have no influence on results.
+    """
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(conf) == "10000":
+        df.sparkSession.conf.set(conf, str(TEXT_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

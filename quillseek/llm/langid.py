@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, key_type, quoted, small, table, written
+from .common import id_back, id_key, key_type, quoted, small, small_batches, table, written
 
 #: N-grams in a list; labelled documents a language that profiles are fitted on, at most.
 PROFILE, SAMPLE = 400, 400
@@ -156,7 +156,7 @@ def accept(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "tex
         for t in texts:
             yield pd.Series([_accepted((s := ranker.score(x))[1], s[3]) for x in t], dtype=bool)
 
-    return docs.filter(accepted(quoted(text_col)))
+    return small_batches(docs).filter(accepted(quoted(text_col)))
 
 
 def query(spark, sf_dir):
