@@ -6,6 +6,10 @@ from either in at most RADIUS/2 bits, so every band emits all its variants
 within half the radius and the variants are shuffled. Fingerprints that meet in
 a variant are verified by the distance of the whole fingerprints, MAX_DISTANCE
 of BITS at most. Groups are the connected components of what is verified.
+
+Most meetings of a large table are by chance and of two or a few fingerprints,
+and their number grows with the square of the table. These are verified as pairs
+within Spark's generated code; only longer lists go to Python.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ PER_BUCKET, MOST = 250_000, 1_000_000
 PACK = 8192
 #: Nodes of a list that are compared by one task; a longer one is compared in pairs of such blocks.
 BLOCK = 2048
+#: Nodes of the longest list that is verified as pairs.
+FEW = 8
 _POPS = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -152,8 +158,11 @@ def block_pairs(ids: np.ndarray, size: int = BLOCK) -> Iterator[np.ndarray]:
             yield np.concatenate((one, other))
 
 
-def _meetings(top: int):
-    """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time."""
+def _meetings(top: int, few: int = 0):
+    """From rows sorted by bucket, the distinct lists of nodes that have a variant in common. One bucket is in memory at a time.
+
+    Lists come as rows of (list, node, null). Those of at most ``few`` nodes come as all their pairs instead, (null, lesser node, other).
+    """
     inner = np.array([0, *(1 << i for i in range(32 - top))], np.uint32)
 
     def unfold(w: np.ndarray, w_nodes: np.ndarray, v: np.ndarray, v_nodes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,10 +201,16 @@ def _meetings(top: int):
             nodes, v = nodes[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)], key >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(v)])))
-            two = starts[sizes == 2]
-            pairs = np.unique(np.sort(np.stack((nodes[two], nodes[two + 1]), 1), axis=1), axis=0)
-            names, members = [n for p in pairs for n in (_name(p),) * 2], [pairs.reshape(-1)]
-            for k in np.flatnonzero(sizes > 2).tolist():
+            pairs = [np.empty((0, 2), np.int64)]
+            for n in range(2, few + 1):
+                i, j = np.triu_indices(n, 1)
+                some = np.sort(nodes[starts[sizes == n][:, None] + np.arange(n)], axis=1)
+                pairs.append(np.stack((some[:, i].ravel(), some[:, j].ravel()), 1))
+            both = np.concatenate(pairs)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.concatenate(([True], (both[1:] != both[:-1]).any(1)))[: len(both)]]
+            names, members = [], [np.empty(0, np.int64)]
+            for k in np.flatnonzero(sizes > max(1, few)).tolist():
                 for ids in block_pairs(np.sort(nodes[starts[k] : starts[k] + sizes[k]])):
                     name = _name(ids)
                     if name not in seen:
@@ -204,7 +219,9 @@ def _meetings(top: int):
                         members.append(ids)
             if len(seen) > 200_000:
                 seen.clear()  # lists may then come again; distinct() takes them
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate(members))], ["list", "node"])
+            lists = [pa.array(names, pa.int64()), pa.array(np.concatenate(members)), pa.nulls(len(names), pa.int64())]
+            met = [pa.nulls(len(both), pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(met, lists)], ["list", "node", "other"])
 
         for b in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -227,6 +244,24 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
 
+def _with_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fid, print, node) with the print as integers too."""
+    for b in batches:
+        rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(-1, BITS // 64)
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(w)) for w in rows.T)], [*b.schema.names, *_WORDS])
+
+
+_WORDS = [f"w{k}" for k in range(BITS // 64)]
+
+
+def near_pairs(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): the fids of ``pairs`` (node, other) whose fingerprints are within MAX_DISTANCE."""
+    one = own.select("node", F.col("fid").alias("a"), *(F.col(w).alias(f"a_{w}") for w in _WORDS))
+    two = own.select(F.col("node").alias("other"), F.col("fid").alias("b"), *(F.col(w).alias(f"b_{w}") for w in _WORDS))
+    apart = " + ".join(f"bit_count(a_{w} ^ b_{w})" for w in _WORDS)
+    return pairs.join(one, "node").join(two, "other").filter(f"{apart} <= {MAX_DISTANCE}").select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the least node that ``edges`` (a, b) connect it with.
 
@@ -265,12 +300,15 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = docs.select(k1.alias("doc_id"), k2.alias("text_key"), quoted(text_col).alias("text"))
     kind = f"doc_id {key_type(docs, id_col)}, text_key bigint, print binary"
     prints = written(texts.mapInPandas(_print_rows, kind).filter("print is not null").select("*", F.xxhash64("print").alias("fid")), "prints")
-    own = written(prints.select("fid", "print").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprints")
+    own = prints.select("fid", "print").distinct().withColumn("node", F.monotonically_increasing_id())
+    own = written(own.mapInArrow(_with_words, "fid bigint, print binary, node bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)), "fingerprints")
     top = _top_bits(own.count())
     packed = own.select("node", "print").mapInArrow(_variants(top), "bucket bigint, high bigint, single boolean, data binary")
-    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(top), "list bigint, node bigint").distinct()
-    lists = met.join(own, "node").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
-    edges = written(lists.select("fids", "prints").mapInPandas(_edges, "a bigint, b bigint").distinct(), "near")
+    met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meetings(top, FEW), "list bigint, node bigint, other bigint").distinct()
+    met = written(met, "meetings")
+    pairs = near_pairs(met.filter("list is null").select("node", "other"), own)
+    lists = met.filter("list is not null").join(own.select("node", "fid", "print"), "node").groupBy("list").agg(F.collect_list("fid").alias("fids"), F.collect_list("print").alias("prints"))
+    edges = written(lists.select("fids", "prints").mapInPandas(_edges, "a bigint, b bigint").unionByName(pairs).distinct(), "near")
     comps = components(edges)
     placed = prints.join(comps.withColumnRenamed("node", "fid"), "fid", "left").select("doc_id", "text_key", F.coalesce("comp", "fid").alias("comp"))
     rows = placed.groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("copies"))

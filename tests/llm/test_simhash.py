@@ -155,3 +155,42 @@ def test_recall_by_distance(distance, least):
         row[rng.choice(simhash.BITS, distance, replace=False)] = True
     met = (flips.reshape(len(flips), simhash.BANDS, 32).sum(2) <= simhash.RADIUS).any(1)
     assert met.mean() >= least
+
+
+@pytest.mark.parametrize("few", [2, 8, 100])
+def test_short_lists_come_as_pairs(few):
+    """Lists and pairs together let meet what all lists do; a list of at most ``few`` nodes isn't sent to Python again."""
+    rng = np.random.default_rng(few)
+    base = rng.integers(0, 256, (40, simhash.BITS // 8), dtype=np.uint8)
+    base = np.concatenate([base] + [base[:20] ^ np.where(rng.random((20, base.shape[1])) < 0.02, 1 << rng.integers(0, 8, (20, base.shape[1])), 0).astype(np.uint8) for _ in range(12)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(base))), pa.array([b.tobytes() for b in base], pa.binary())], ["node", "print"])
+    rows = sorted((r for b in simhash._variants(3)([batch]) for r in b.to_pylist()), key=lambda r: r["bucket"])
+
+    def meet(few):
+        lists, pairs = {}, set()
+        for b in simhash._meetings(3, few)([pa.RecordBatch.from_pylist(rows)]):
+            for r in b.to_pylist():
+                if r["list"] is None:
+                    assert r["node"] < r["other"]
+                    pairs.add((r["node"], r["other"]))
+                else:
+                    lists.setdefault(r["list"], set()).add(r["node"])
+        return lists, pairs
+
+    of = lambda lists: {(a, b) for x in lists.values() for a in x for b in x if a < b}
+    whole, (lists, pairs) = meet(0)[0], meet(few)
+    assert pairs and of(lists) | pairs == of(whole) and all(len(x) > few for x in lists.values())
+
+
+def test_pairs_are_verified_by_their_distance(spark):
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 256, simhash.BITS // 8, dtype=np.uint8)
+    prints = [one]
+    for d in (0, 1, simhash.MAX_DISTANCE, simhash.MAX_DISTANCE + 1, simhash.BITS):
+        flips = np.zeros(simhash.BITS, np.uint8)
+        flips[rng.choice(simhash.BITS, d, replace=False)] = 1
+        prints.append(one ^ np.packbits(flips))
+    own = spark.createDataFrame([(100 + n, p.tobytes(), n) for n, p in enumerate(prints)], "fid bigint, print binary, node bigint")
+    own = own.mapInArrow(simhash._with_words, "fid bigint, print binary, node bigint, " + ", ".join(f"{w} bigint" for w in simhash._WORDS))
+    pairs = spark.createDataFrame([(0, n) for n in range(1, 6)], "node bigint, other bigint")
+    assert sorted(map(tuple, simhash.near_pairs(pairs, own).collect())) == [(100, 101), (100, 102), (100, 103)]
