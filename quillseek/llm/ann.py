@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_back, id_key, key_type, quoted, table, written
+from .common import id_back, id_key, key_type, quoted, written
 
 K, TABLES, LEAST_WIDTH = 10, 64, 16
 #: Chance with which a vector as near as the K-th found neighbour is met before a query is answered.
@@ -370,7 +370,3 @@ def neighbours(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vec_col:
     else:
         found = found.withColumns({"q_key": F.col("q"), "id_key": F.col("id")})
     return found.select(id_back(vectors, id_col, F.col("q_key")).alias("vec_id"), id_back(vectors, id_col, F.col("id_key")).alias("neighbour_id"), F.col("rank").cast("int").alias("rank"), F.round("cosine", 6).alias("cosine"))
-
-
-def query(spark, sf_dir):
-    return neighbours(table(spark, sf_dir, "embeddings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontam, htmlblocks, langid, linededup, mixing, simhash, url_filter, warc
+from . import anncells, chat, decontam, htmlblocks, langid, linededup, mixing, simhash, url_filter, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -13,7 +13,7 @@ def _pipeline(spark, sf_dir):
 
 def queries() -> dict:
     return {
-        "op1_nearest_neighbours": ann.query,
+        "op1_nearest_neighbours": anncells.query,
         "op2_line_dedup": linededup.query,
         "op3_warc": warc.query,
         "op4_mixing": mixing.query,
