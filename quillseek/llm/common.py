@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,8 +17,8 @@ from ..shared import written as _written
 
 __all__ = ["bitmap", "id_back", "id_key", "is_marked", "key_type", "quoted", "row_key", "shared_dir", "small", "small_batches", "spare", "table", "word_count", "written"]
 
-#: Rows of text, and of chunks with it, that go to Python at a time.
-TEXT_ROWS = 100
+#: Rows of text, and of chunks with it, that go to Python at a time, and bytes after which no row is added to them.
+TEXT_ROWS, TEXT_BYTES = 100, 4 << 20
 #: Bits of a bitmap for each of its keys, and the most bits of one (64 MB).
 MARK_BITS, MOST_BITS = 16, 1 << 29
 #: Never an id in practice; stands for the null id where ids are integers.
@@ -29,22 +30,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
     The result has no lineage, so a lost executor costs a reread, and a stage
     that is used several times is computed once. Texts go to Python in batches
-    of TEXT_ROWS meanwhile, as both sides hold whole batches.
+    of TEXT_ROWS, and about TEXT_BYTES, meanwhile, as both sides hold whole batches.
     """
     with _text_batches(df.sparkSession):
         return _written(df, label)
 
 
+def _size(value: str) -> int:
+    """The number that a setting has, in bytes if it has a unit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", value.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 @contextmanager
 def _text_batches(spark: SparkSession) -> Iterator[None]:
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(conf)
-    if not 0 < int(before) <= TEXT_ROWS:
-        spark.conf.set(conf, str(TEXT_ROWS))
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXT_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": TEXT_BYTES}
+    before = {conf: spark.conf.get(conf) for conf in most}
+    for conf, value in before.items():
+        if not 0 < _size(value) <= most[conf]:
+            spark.conf.set(conf, str(most[conf]))
     try:
         yield
     finally:
-        spark.conf.set(conf, before)
+        for conf, value in before.items():
+            spark.conf.set(conf, value)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

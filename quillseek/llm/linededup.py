@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,33 +76,47 @@ def windows(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _spots(text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, low, high, hash) for each chunk that can be removed and each window; low and high are where the line before begins and the line after ends."""
+    bounds = [(s, e) for s, e, _ in _lines(text)]
+    first, last = {s: k for k, (s, _) in enumerate(bounds)}, {e: k for k, (_, e) in enumerate(bounds)}
+    for s, e, h in [*((s, e, h) for s, e, h, fit in chunks(text) if fit), *windows(text)]:
+        i, j = first[s], last[e]
+        yield s, e, bounds[i - 1][0] if i else s, bounds[j + 1][1] if j + 1 < len(bounds) else e, h
+
+
 def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["d_id", "d_key", "start", "end", "hash"]
+    cols = ["d_id", "d_key", "start", "end", "low", "high", "hash"]
     for b in batches:
-        rows = []
-        for i, k, t in zip(b["d_id"], b["d_key"], b["text"]):
-            rows += [(i, k, s, e, h) for s, e, h, fit in chunks(t) if fit]
-            rows += [(i, k, s, e, h) for s, e, h in windows(t)]
-        yield pd.DataFrame(rows, columns=cols)
+        yield pd.DataFrame([(i, k, *spot) for i, k, t in zip(b["d_id"], b["d_key"], b["text"]) for spot in _spots(t)], columns=cols)
 
 
-def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["hash", "first_text", "before", "after"]
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wanted parts (lo, hi) of each text, some OUT_CHARS at a time."""
+    cols = ["f_id", "f_key", "lo", "hi", "part"]
     for b in batches:
         rows, size = [], 0
-        for text, spans in zip(b["text"], b["spans"]):
-            bounds = [(s, e) for s, e, _ in _lines(text)]
-            first, last = {s: k for k, (s, _) in enumerate(bounds)}, {e: k for k, (_, e) in enumerate(bounds)}
-            for c in spans:
-                i, j = first[c["start"]], last[c["end"]]
-                before = text[slice(*bounds[i - 1])] if i else None
-                after = text[slice(*bounds[j + 1])].removesuffix("\n") if j + 1 < len(bounds) else None
-                rows.append((c["hash"], text[c["start"] : c["end"]].removesuffix("\n"), before, after))
-                size += c["end"] - c["start"] + len(before or "") + len(after or "")
+        for i, k, text, wanted in zip(b["f_id"], b["f_key"], b["text"], b["wanted"]):
+            for w in wanted:
+                rows.append((i, k, w["lo"], w["hi"], text[w["lo"] : w["hi"]]))
+                size += w["hi"] - w["lo"]
                 if size > OUT_CHARS:
-                    yield pd.DataFrame(rows, columns=cols, dtype="object")
+                    yield pd.DataFrame(rows, columns=cols)
                     rows, size = [], 0
-        yield pd.DataFrame(rows, columns=cols, dtype="object")
+        yield pd.DataFrame(rows, columns=cols)
+
+
+def _spans(runs: list[dict] | None) -> list[dict]:
+    """The spans of runs, as cut() takes them."""
+    out = []
+    for run in runs or ():
+        part, lo = run["part"], run["lo"]
+        for c in run["pieces"]:
+            start, end, low, high = c["f_start"] - lo, c["f_end"] - lo, c["f_low"] - lo, c["f_high"] - lo
+            before = part[low:start] if low < start else None
+            after = part[end:high].removesuffix("\n") if high > end else None
+            out.append({"start": c["start"], "end": c["end"], "first_text": part[start:end].removesuffix("\n"), "before": before, "after": after})
+    return out
 
 
 def cut(text: str | None, spans: list[dict] | None) -> tuple[str | None, int]:
@@ -176,30 +190,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k1, k2 = row_key(docs, id_col, text_col)
     kind = f"d_id {key_type(docs, id_col)}, d_key bigint"
     texts = docs.filter(quoted(text_col).isNotNull()).select(k1.alias("d_id"), k2.alias("d_key"), quoted(text_col).alias("text"))
-    spots = written(texts.mapInPandas(_chunk_rows, f"{kind}, start int, end int, hash bigint"), "chunks")
+    spots = written(texts.mapInPandas(_chunk_rows, f"{kind}, start int, end int, low int, high int, hash bigint"), "chunks")
     place = F.struct("d_id", "d_key", "start")
-    ends = spots.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.struct("d_id", "d_key", "start", "end")).alias("at"))
-    repeated = written(ends.filter("first <> last").select("hash", "at.*"), "repeated")
-    # the texts of first occurrences
-    wanted = repeated.groupBy("d_id", "d_key").agg(F.collect_list(F.struct("hash", "start", "end")).alias("spans"))
-    holders = texts.filter(_marked(repeated.select("d_key").distinct())(F.col("d_key")))
-    firsts = holders.join(wanted, ["d_id", "d_key"]).select("text", "spans").mapInPandas(_chunk_texts, "hash bigint, first_text string, before string, after string").dropDuplicates(["hash"])
-    again = spots.join(repeated.select("hash", F.struct("d_id", "d_key", "start").alias("first")), "hash").filter(place != F.col("first")).select("d_id", "d_key", "start", "end", "hash").distinct()
-    again = written(again, "again")
-    a, b, c, spans_name, done = spare(docs, "cut_id", "cut_key", "cut_hash", "cut_spans", "cut_done")
-    spans = again.join(firsts, "hash").groupBy(F.col("d_id").alias(a), F.col("d_key").alias(b)).agg(F.collect_list(F.struct("start", "end", "first_text", "before", "after")).alias(spans_name))
+    ends = spots.groupBy("hash").agg(F.min(F.struct("d_id", "d_key", "start", "end", "low", "high")).alias("at"), F.max(place).alias("last"))
+    repeated = ends.filter(F.struct("at.d_id", "at.d_key", "at.start") != F.col("last"))
+    repeated = written(repeated.select("hash", *[F.col(f"at.{x}").alias(f"f_{y}") for x, y in (("d_id", "id"), ("d_key", "key"), ("start", "start"), ("end", "end"), ("low", "low"), ("high", "high"))]), "repeated")
+    again = spots.drop("low", "high").join(repeated, "hash").filter(place != F.struct("f_id", "f_key", "f_start")).drop("hash").repartition("d_id", "d_key")
+    # what came in one piece from one text is one run, whose text is sent once
+    doc, source = ["d_id", "d_key"], ["f_id", "f_key"]
+    line = Window.partitionBy(*doc, *source, "shift").orderBy("start", "end")
+    new = F.col("start") > F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("shift", F.col("start") - F.col("f_start")).withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = F.collect_set(F.struct("start", "end", "f_start", "f_end", "f_low", "f_high"))  # a set, as rows may repeat
+    runs = again.groupBy(*doc, *source, "shift", "run").agg(F.min("f_low").alias("lo"), F.max("f_high").alias("hi"), pieces.alias("pieces"))
+    runs = written(runs.groupBy(*doc, *source, "lo", "hi").agg(F.flatten(F.collect_list("pieces")).alias("pieces")), "runs")
+    wanted = runs.groupBy(*source).agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
+    holders = texts.filter(_marked(repeated.select("f_key").distinct())(F.col("d_key"))).select(F.col("d_id").alias("f_id"), F.col("d_key").alias("f_key"), "text")
+    parts = holders.join(wanted, source).select(*source, "text", "wanted").mapInPandas(_parts, f"{kind.replace('d_', 'f_')}, lo int, hi int, part string").dropDuplicates([*source, "lo", "hi"])
+    a, b, c, runs_name, done = spare(docs, "cut_id", "cut_key", "cut_hash", "cut_runs", "cut_done")
+    spans = runs.join(parts, [*source, "lo", "hi"]).groupBy(F.col("d_id").alias(a), F.col("d_key").alias(b)).agg(F.collect_list(F.struct("part", "lo", "pieces")).alias(runs_name))
 
     @F.arrow_udf("struct<text: string, n: int>")
-    def cut_all(text: pa.Array, spans: pa.Array) -> pa.Array:
-        done = (cut(t.as_py(), s.as_py()) for t, s in zip(text, spans))  # a row's spans at a time
+    def cut_all(text: pa.Array, runs: pa.Array) -> pa.Array:
+        done = (cut(t.as_py(), _spans(r.as_py())) for t, r in zip(text, runs))  # a row's spans at a time
         texts, counts = zip(*done) if len(text) else ((), ())
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
 
     names = [x for x in docs.columns if x.lower() != count_col.lower()]
     void = [x for x in names if isinstance(docs.select(quoted(x)).schema[0].dataType, T.NullType)]  # Parquet has no such columns
     rows = docs.select(*[quoted(x) for x in names if x not in void], k2.alias(c))
-    touched = _marked(again.select("d_key").distinct())
-    joined = rows.filter(touched(F.col(c))).join(spans, (k1 == F.col(a)) & (F.col(c) == F.col(b)), "left").withColumn(done, cut_all(quoted(text_col), F.col(spans_name)))
+    touched = _marked(runs.select("d_key").distinct())
+    joined = rows.filter(touched(F.col(c))).join(spans, (k1 == F.col(a)) & (F.col(c) == F.col(b)), "left").withColumn(done, cut_all(quoted(text_col), F.col(runs_name)))
     some = joined.select(*[F.col(done)["text"].alias(x) if x.lower() == text_col.lower() else quoted(x) for x in names if x not in void], F.col(done)["n"].alias(count_col))
     rest = rows.filter(~touched(F.col(c))).select(*[quoted(x) for x in names if x not in void], F.lit(0).alias(count_col))  # their texts aren't shuffled
     both = written(some, "cut").unionByName(rest)

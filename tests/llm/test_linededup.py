@@ -147,3 +147,31 @@ def test_all_repeated_runs_go(spark, alone):
         left = [ls[k] for k in want[i] if ls[k] in got[i]]
         assert sum(len(x.split()) for x in left) < L.LONG if alone else not left
         assert {x for k, x in enumerate(ls) if k not in want[i]} <= set(got[i])
+
+
+def test_a_copy_is_sent_once(spark, monkeypatch):
+    """Chunks and windows that came in one piece from one text are one run; their texts, with those beside them, would be many times the copy."""
+    rng = random.Random(6)
+    text = "\n".join(lines(rng, 200, (4, 9)))
+    tables = {}
+    keep = L.written
+    monkeypatch.setattr(L, "written", lambda df, label: tables.setdefault(label, keep(df, label)))
+    rows = [(1, text), (2, text), (2, text), (3, "\n".join(lines(rng, 3) + [text] + lines(rng, 2)))]
+    check(spark, rows)
+    runs = tables["runs"].collect()
+    assert sorted((r.d_id, r.f_id, r.lo, r.hi) for r in runs) == [(2, 1, 0, len(text)), (3, 1, 0, len(text))]
+    assert all(len(r.pieces) == len(set(r.pieces)) > 300 for r in runs)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def total(text):
+        return text.str.len().sum() + 0 * text.str.len()
+
+    size = 1 << 18
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), size).alias("text"))
+    most = common.written(texts.select(total("text").alias("n")), "sizes").agg(F.max("n")).first()[0]
+    assert size < most <= common.TEXT_BYTES + size and spark.conf.get(conf) == before
+    assert [common._size(x) for x in ("100", "67108864b", "64m", "64MB", "-1", "2k")] == [100, 64 << 20, 64 << 20, 64 << 20, -1, 2048]
