@@ -122,16 +122,16 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return id_key(df, id_col), F.xxhash64(F.coalesce(quoted(text_col), F.lit("\0")))
 
 
-def bitmap(keys: DataFrame) -> Broadcast:
+def bitmap(keys: DataFrame, least: int = 1 << 10) -> Broadcast:
     """Bits, two for each of ``keys`` (one bigint column, already hashed), for is_marked(), on all executors.
 
     The bits are OR-ed on the executors; the driver gets words of 64 bits, at
-    most MOST_BITS in all. Beyond MOST_BITS / MARK_BITS keys, more other keys
+    most MOST_BITS and at least ``least`` (a power of 2) in all. Beyond MOST_BITS / MARK_BITS keys, more other keys
     pass; whoever asks has an exact join after it.
     """
     (name,) = keys.columns
     n = keys.count()
-    bits = min(MOST_BITS, 1 << max(10, (MARK_BITS * n).bit_length()))
+    bits = min(MOST_BITS, max(least, 1 << (MARK_BITS * n).bit_length()))
     k = quoted(name)
     places = F.explode(F.array(k.bitwiseAND(bits - 1), F.shiftrightunsigned(k, 32).bitwiseAND(bits - 1)))
     words = keys.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()

@@ -11,7 +11,7 @@ that are almost only placeholders are looked for with their values as words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ from .common import bitmap, id_back, id_key, is_marked, key_type, quoted, row_ke
 
 #: Tokens in a window, least literal words in one, and part of an item's windows that a document must have.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Characters of texts that are looked through at a time, and least bits of the bitmap: with few, most texts have a window that passes by chance.
+AT_ONCE, LEAST_BITS = 1 << 19, 1 << 24
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute "
@@ -94,11 +96,19 @@ def exact(text: str) -> tuple[list[str], dict[int, str]]:
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Low bits that a token's hash leaves free.
+_FREE = 14
+
+
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token) >> _FREE << _FREE
+
+
 class _Hashes(dict):
     """Hashes of tokens, kept."""
 
     def __missing__(self, token: str) -> int:
-        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        h = self[token] = _hash(token)
         return h
 
     def of(self, toks: list[str]) -> np.ndarray:
@@ -117,6 +127,82 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+_END, _DIGIT, _UNIT, _NAMED, _CAPITAL, _SIGN, _EDGE = (1 << k for k in range(7))
+
+
+class Templates(dict):
+    """The templates of many texts at a time, as hashes only; they are those of tokens(), which is slower.
+
+    Tokens are kept with a number: the hash, and in its free bits the flags in a
+    text as it is and, seven bits higher, those in a text in lower case without names.
+    """
+
+    def __init__(self, names: frozenset[str] = frozenset()) -> None:
+        self.names, self.special = names, UNITS | names
+
+    def __missing__(self, t: str) -> int:
+        low = t.lower()
+        if low == t and t.isalpha() and low not in self.special:  # most words
+            f = plain = 0
+        elif t in _STOP:
+            f = plain = _END
+        elif t[0].isdigit():
+            f = plain = _DIGIT
+        else:
+            plain = _UNIT * (low in UNITS) | _SIGN * (t in "%$€£°")
+            f = plain | _NAMED * (low in self.names) | _CAPITAL * (t != low and t[0].isupper() and not t.isupper())
+        k = self[t] = _hash(low) | plain << 7 | f
+        return k
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(form, hashes of all tokens, number of the text of each) for the forms 0 and 1, the latter of the texts with a name. An edge, which is no token and has no number (-1), is before each text."""
+        if len(self) > 200_000:
+            self.clear()
+        parts = [self._numbers(text) for text in texts]
+        h, at, named = _template(np.concatenate(parts), 0)
+        yield 0, h, at
+        if len(named):
+            # letters in lower case are the same tokens, but for these two
+            lower = [self._numbers(t.lower()) if "İ" in (t := texts[k]) or "Σ" in t else parts[k] for k in named.tolist()]
+            h, at, _ = _template(np.concatenate(lower), 7)
+            yield 1, h, np.where(at < 0, -1, named[at])
+
+    def _numbers(self, text: str) -> np.ndarray:
+        toks = _TOKEN.findall(text)
+        out = np.full(len(toks) + 1, _EDGE << 7 | _EDGE, np.uint64)
+        out[1:] = np.fromiter(map(self.__getitem__, toks), np.uint64, len(toks))
+        return out
+
+
+def _template(numbers: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the tokens and edges, number of the text of each token, numbers of the texts that have a name)."""
+    f = (numbers >> np.uint64(shift)).astype(np.uint8) & np.uint8(127)
+    h, text = numbers >> np.uint64(_FREE) << np.uint64(_FREE), np.cumsum(f == _EDGE) - 1
+    start = np.concatenate(([True], (f[:-1] & np.uint8(_END | _EDGE)) != 0))
+    last = lambda x: np.concatenate(([False], x[:-1]))
+    keep = (f & np.uint8(_END)) == 0
+    f, h, text, start = f[keep], h[keep], text[keep], start[keep]
+    digit = (f & np.uint8(_DIGIT)) != 0
+    unit = ((f & np.uint8(_UNIT)) != 0) & last(digit)
+    h[digit], h[unit] = _hash(NUM), _hash(UNIT)
+    keep = ((f & np.uint8(_SIGN)) == 0) | unit
+    f, h, text, start, unit = f[keep], h[keep], text[keep], start[keep], unit[keep]
+    name = ~unit & (((f & np.uint8(_NAMED)) != 0) | (~start & ((f & np.uint8(_CAPITAL)) != 0)))
+    h[name] = _hash(NAME)
+    keep = ~(name & ~start & last(name))  # names that follow each other are one
+    return h[keep], np.where(f == _EDGE, -1, text)[keep], np.unique(text[name])
+
+
+def having(h: np.ndarray, text: np.ndarray, widths: list[int], marked: Callable[[np.ndarray], np.ndarray]) -> set[int]:
+    """Numbers of the texts, of Templates, that have a window whose hash is marked."""
+    edges, out = np.concatenate(([0], np.cumsum(text < 0))), set()
+    for width in widths:
+        hs = window_hashes(h, width)
+        whole = edges[width:] == edges[: len(edges) - width] if len(hs) else np.empty(0, bool)
+        out.update(text[: len(hs)][whole & marked(hs.view(np.int64))].tolist())
+    return out
+
+
 def _window(toks: list[str], slots: dict[int, str], i: int, width: int) -> tuple[str, list[str]]:
     return " ".join(toks[i : i + width]), [slots[k] for k in range(i, i + width) if k in slots]
 
@@ -142,6 +228,19 @@ def item_windows(text: str | None, names: frozenset[str], hashes: _Hashes) -> li
     return out
 
 
+def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """``rows``, whose last value is a text, some AT_ONCE characters at a time."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[-1])
+        if size > AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def benchmark_names(texts: DataFrame) -> frozenset[str]:
     """Words that the items (column text) have with a capital within a sentence and never in lower case."""
 
@@ -200,21 +299,29 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, coverage: float, id_col: str,
     windows = written(items.mapInPandas(build, f"item {item_type}, item_key bigint, i_form int, n_windows int, idx int, width int, template string, i_slots array<string>, hash bigint"), "benchmark-windows")
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())
     values = not windows.filter("i_form = 2").isEmpty()
-    sent = bitmap(windows.select("hash").distinct())  # what passes by chance has no equal template in the join
+    sent = bitmap(windows.select("hash").distinct(), LEAST_BITS)  # what passes by chance has no equal template in the join
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, cols = _Hashes(), ["d_id", "d_key", "form", "pos", "template", "d_slots"]
+        marked = lambda h: is_marked(sent.value, h)
+        templates = Templates(names)
         for b in batches:
             rows: list[tuple] = []
-            for doc, key, text in zip(b["d_id"], b["d_key"], b["text"]):
-                for form, toks, slots in [*forms(text, names), *([(2, exact(text)[0], {})] if values else [])]:
-                    h = hashes.of(toks)
-                    for width in widths:
-                        spots = np.flatnonzero(is_marked(sent.value, window_hashes(h, width).view(np.int64))).tolist()
-                        rows += [(doc, key, form, i, *_window(toks, slots, i, width)) for i in spots]
-                    if len(rows) > 20_000:
-                        yield pd.DataFrame(rows, columns=cols)
-                        rows = []
+            for part in _parts(list(zip(b["d_id"], b["d_key"], b["text"]))):
+                some = [set(), set(), set(range(len(part))) if values else set()]
+                for form, h, at in templates([t for _, _, t in part]):
+                    some[form] = having(h, at, widths, marked)
+                for k in sorted(set.union(*some)):  # the others have nothing
+                    doc, key, text = part[k]
+                    both = [x for x in forms(text, names) if k in some[x[0]]] if k in some[0] | some[1] else []
+                    for form, toks, slots in [*both, *([(2, exact(text)[0], {})] if values else [])]:
+                        h = hashes.of(toks)
+                        for width in widths:
+                            spots = np.flatnonzero(marked(window_hashes(h, width).view(np.int64))).tolist()
+                            rows += [(doc, key, form, i, *_window(toks, slots, i, width)) for i in spots]
+                        if len(rows) > 20_000:
+                            yield pd.DataFrame(rows, columns=cols)
+                            rows = []
             yield pd.DataFrame(rows, columns=cols)
 
     k1, k2 = row_key(docs, id_col, text_col)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -94,3 +95,38 @@ def test_reparameterised_against_brute_force(spark):
     assert len(items) > 10
     got = found(spark, docs, items)
     assert got == sorted(want, key=str)
+
+
+ODD = ["5", "12.5", "1/2", "km", "KM", "Km", "$", "%", "€", "°", ".", "!", "\n", ":", "Alice", "alice", "Bob", "NASA", "word", "the", "I", "X2", "2x", "²", "٣", "İstanbul", "ß", "ǅ", "_", "-", "Éa", "Days", "s", "", "̇", "ⅷ", "5km", "日本", "Σ", "ΑΣ", "ΑΣ.Α", "K", "Ⓐ"]
+
+
+@pytest.mark.parametrize("names", [frozenset(), frozenset({"alice", "word", "km", "x2"})])
+def test_templates_are_those_of_tokens(names):
+    """The quick look at many texts sees the tokens of forms(), whatever is in the texts and beside them."""
+    rng, quick, hashes = random.Random(4), decontam.Templates(names), decontam._Hashes()
+    for _ in range(100):
+        texts = ["".join(rng.choice(ODD) + rng.choice("  ") * rng.randint(0, 1) for _ in range(rng.randint(0, 30))) for _ in range(30)]
+        got = {form: (h, at) for form, h, at in quick(texts)}
+        for k, text in enumerate(texts):
+            want = decontam.forms(text, names)
+            assert all(hashes.of(toks).tolist() == got[form][0][got[form][1] == k].tolist() for form, toks, _ in want), text
+            assert len(want) == 2 or not (got.get(1, (0, np.empty(0)))[1] == k).any()
+
+
+def test_windows_do_not_run_from_text_to_text():
+    texts = ["one two three four", "five six seven eight", "", "zero one two three four five six seven eight"]
+    (_, h, at), hashes = next(decontam.Templates()(texts)), decontam._Hashes()
+    want = decontam.window_hashes(hashes.of(" ".join(texts[:2]).split()), 8).view(np.int64)
+    assert decontam.having(h, at, [8], lambda x: np.isin(x, want)) == {3}
+    assert decontam.having(h[:5], at[:5], [8], lambda x: np.ones(len(x), bool)) == set()
+
+
+def test_few_windows_pass_by_chance(spark, monkeypatch):
+    """What is written of texts without any window of the benchmark: one in a hundred of their windows with 16 bits a hash."""
+    tables, keep = {}, decontam.written
+    monkeypatch.setattr(decontam, "written", lambda df, label: tables.setdefault(label, keep(df, label)))
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    docs = [(i, text(500)) for i in range(100)]
+    assert found(spark, [*docs, (100, docs[0][1])], [(i, text(60)) for i in range(100)]) == []
+    assert tables["benchmark-windows"].count() == 5300 and tables["benchmark-hits"].count() <= 5
