@@ -85,6 +85,11 @@ def test_lists_with_nulls(spark):
     assert sums == {0: None, 1: [], 2: [5, 305], 3: [], 4: [(1 << 35) - 1, (1 << 35) - 1]}
 
 
+def test_offsets_make_chunks_once(posts):
+    text = plan(blocks.chunk_offsets(blocks.chunk_sizes(posts)))
+    assert "ReusedExchange" in text
+
+
 def test_counting_within_rows(docs):
     """As when all tokens are grouped; sorted in generated code."""
     got = invert.postings(docs, with_size=True, unique=True)
