@@ -4,10 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quillseek import shared
 from quillseek.functions import codec
 from quillseek.operators import blocks, invert
+from quillseek.plans.engine import SearchIndex
 
 
 def plan(df):
@@ -90,6 +92,26 @@ def test_offsets_make_chunks_once(posts):
     assert "ReusedExchange" in text
 
 
+def test_documents_are_tokenised_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf(ArrayType(StringType()))
+    def tokens(text):
+        calls.add(1)
+        return text.split()
+
+    rows = spark.createDataFrame([(i, f"w{i % 3} w{i % 7} x") for i in range(50)], "id bigint, text string")
+    index = SearchIndex.build(invert.prepare(rows, "id", "text", tokenizer=lambda c: tokens(c)), str(tmp_path / "index"), with_blocks=True)
+    assert index.stats.first().n == 50 and index.postings.filter("term = 'x'").count() == 50
+    assert calls.value <= 100  # for the tokens and for the size
+
+
+def test_blocks_tell_the_lexicon_their_sizes(spark, docs, tmp_path):
+    built = [SearchIndex.build(docs, str(tmp_path / n), with_blocks=n != "without", codec=codec.FIXED if n == "fixed" else codec.VARBYTE) for n in ("with", "without", "fixed")]
+    for a in built[1:]:
+        assert sorted(map(tuple, a.lexicon.collect())) == sorted(map(tuple, built[0].lexicon.collect()))
+
+
 def test_counting_within_rows(docs):
     """As when all tokens are grouped; sorted in generated code."""
     got = invert.postings(docs, with_size=True, unique=True)
