@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import decode, encode
+from ..operators.invert import joined
 from ..schemas import RUN
 
 
@@ -88,10 +89,10 @@ def read_text_runs(spark: SparkSession, folder: str) -> DataFrame:
 def write_id_runs(posts: DataFrame, ids: DataFrame, folder: str) -> None:
     """(term_id, doc_id, freq) as Parquet, beside the term map in folder/terms."""
     ids.write.parquet(f"{folder}/terms")
-    posts.join(posts.sparkSession.read.parquet(f"{folder}/terms"), "term").select("term_id", "doc_id", "freq").write.parquet(f"{folder}/postings")
+    joined(posts, posts.sparkSession.read.parquet(f"{folder}/terms"), "term").select("term_id", "doc_id", "freq").write.parquet(f"{folder}/postings")
 
 
 def read_id_runs(spark: SparkSession, folder: str) -> DataFrame:
     """(term, doc_id, freq) of write_id_runs()."""
     ids = spark.read.parquet(f"{folder}/terms")
-    return spark.read.parquet(f"{folder}/postings").join(ids, "term_id").select("term", "doc_id", F.col("freq"))
+    return joined(spark.read.parquet(f"{folder}/postings"), ids, "term_id").select("term", "doc_id", F.col("freq"))

@@ -112,6 +112,18 @@ def test_blocks_tell_the_lexicon_their_sizes(spark, docs, tmp_path):
         assert sorted(map(tuple, a.lexicon.collect())) == sorted(map(tuple, built[0].lexicon.collect()))
 
 
+def test_term_ids_by_hashing(docs):
+    one = invert.term_ids(docs, unique=True)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, invert.term_ids(docs).collect()))
+    seen = docs.select("doc_id", F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term")).filter("term is not null").groupBy("term").agg(F.min("doc_id").alias("doc"), F.min_by("pos", "doc_id").alias("pos"))
+    assert "SortAggregate" not in plan(seen)
+    joined = invert.with_term_ids(invert.postings(docs, unique=True), one)
+    text = plan(joined)
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+    ids = {r.term: r.term_id for r in one.collect()}
+    assert sorted(map(tuple, joined.collect())) == sorted((ids[r.term], r.doc_id, r.freq) for r in invert.postings(docs, unique=True).collect())
+
+
 def test_counting_within_rows(docs):
     """As when all tokens are grouped; sorted in generated code."""
     got = invert.postings(docs, with_size=True, unique=True)
