@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import decode, encode
 from ..operators.invert import joined
 from ..schemas import RUN
+from ..shared import parts
 
 
 #: Bytes that are read at a time.
@@ -79,7 +80,8 @@ def write_runs(posts: DataFrame, folder: str, n: int | None = None) -> list[str]
 
 def write_text_runs(posts: DataFrame, folder: str) -> None:
     """term,doc_id,freq lines in the order of (term, doc_id)."""
-    posts.select(*RUN.fieldNames()).orderBy("term", "doc_id").write.csv(folder, header=False)
+    rows = posts.select(*RUN.fieldNames())
+    rows.repartitionByRange(parts(rows), "term", "doc_id").sortWithinPartitions("term", "doc_id").write.csv(folder, header=False)
 
 
 def read_text_runs(spark: SparkSession, folder: str) -> DataFrame:

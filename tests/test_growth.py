@@ -10,6 +10,7 @@ from quillseek import shared
 from quillseek.functions import codec
 from quillseek.operators import blocks, invert
 from quillseek.plans.engine import SearchIndex
+from quillseek.sources import runs
 
 
 def plan(df):
@@ -129,3 +130,12 @@ def test_counting_within_rows(docs):
     got = invert.postings(docs, with_size=True, unique=True)
     assert "array_sort" not in plan(got)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, invert.postings(docs, with_size=True).collect()))
+
+
+def test_text_runs_in_partitions_by_size(spark, posts, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "PART_BYTES", 1000)
+    runs.write_text_runs(posts, str(tmp_path / "text"))
+    files = sorted((tmp_path / "text").glob("part-*"))
+    assert len(files) > 4 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [x for p in files for x in p.read_text().splitlines()] == [f"{t},{d},{f}" for t, d, f in sorted(rows, key=lambda r: (r[0].encode(), r[1]))]
+    assert sorted(map(tuple, runs.read_text_runs(spark, str(tmp_path / "text")).collect())) == sorted(rows)
