@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -139,3 +140,17 @@ def test_text_runs_in_partitions_by_size(spark, posts, rows, tmp_path, monkeypat
     assert len(files) > 4 == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [x for p in files for x in p.read_text().splitlines()] == [f"{t},{d},{f}" for t, d, f in sorted(rows, key=lambda r: (r[0].encode(), r[1]))]
     assert sorted(map(tuple, runs.read_text_runs(spark, str(tmp_path / "text")).collect())) == sorted(rows)
+
+
+def test_records_by_whole_arrays():
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "né", "日本語" * 9, ""]), rng.choice([0, 127, 128, 16_384, (1 << 35) - 1]), rng.randint(1, 1 << 20)) for _ in range(500)]
+    data = b"".join(codec.encode((d, f, len(t.encode()))) + t.encode() for t, d, f in rows)
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    assert runs._encoded(*columns) == data
+    for cut in (0, 1, 2, 7, 100, len(data) - 1, len(data)):
+        first, rest = runs._records(data[:cut])
+        second, none = runs._records(rest + data[cut:])
+        assert [tuple(r.values()) for r in first.to_pylist() + second.to_pylist()] == rows and none == b""
+    with pytest.raises(ValueError):
+        runs._encoded(columns[0], pa.array([-1] * len(rows), pa.int64()), columns[2])
